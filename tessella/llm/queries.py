@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .language import op7_language
 from .linededup import OP4_SQL, op4_line_dedup
 from .mixing import op1_mix
+from .packing import op9_pack
 from .partenum import op3_near_duplicates
 from .work import reachable
 
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": _over("documents", op3_near_duplicates),
         "op4_line_dedup": _over("documents", op4_line_dedup),
         "op7_language": _over("documents", op7_language),
+        "op9_pack": _over("documents", op9_pack),
         "pipeline": pipeline,
     }
 
