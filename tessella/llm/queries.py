@@ -11,6 +11,7 @@ from .linededup import OP4_SQL, op4_line_dedup
 from .mixing import op1_mix
 from .packing import op9_pack
 from .partenum import op3_near_duplicates
+from .personal import op2_personal_data
 from .work import reachable
 
 
@@ -27,6 +28,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": _over("documents", op1_mix),
+        "op2_personal_data": _over("documents", op2_personal_data),
         "op3_near_duplicates": _over("documents", op3_near_duplicates),
         "op4_line_dedup": _over("documents", op4_line_dedup),
         "op7_language": _over("documents", op7_language),
