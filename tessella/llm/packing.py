@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .textvec import chunks, mix64, word_hashes
 from .tokenize import encoder
-from .work import materialize
+from .work import bucket_of, materialize, range_edges
 
 DIMENSIONS = 4
 BITS = 9
@@ -158,28 +158,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     made = materialize(rows.mapInArrow(_encoded, "id long, key long, n long, ids binary"), "ids")
     total = made.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // tokens_a_bucket))
-    if buckets > 1:
-        marks = [k / buckets for k in range(1, buckets)]
-        # One mark a bucket: a few bytes for every tokens_a_bucket tokens.
-        edges = made.agg(F.percentile_approx("key", marks, max(10_000, 20 * buckets))).first()[0]
-        bucket = _bucket_of(sorted(set(edges)))
-    else:
-        bucket = F.lit(0).cast("long")
+    bucket = bucket_of(F.col("key"), range_edges(made, "key", buckets))
     dealt = made.select(bucket.alias("bucket"), "id", "ids", "key").repartition("bucket").sortWithinPartitions("bucket", "key", "id")
     return dealt.select("bucket", "id", "ids").mapInArrow(_packed(length), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def _bucket_of(edges: list[int]):
-    """The number of edges below the key, by a balanced tree of comparisons."""
-
-    def tree(low: int, high: int):
-        if low == high:
-            return F.lit(low).cast("long")
-        mid = (low + high) // 2
-        return F.when(F.col("key") <= edges[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
-
-    return tree(0, len(edges))
-
-
 def op9_pack(docs: DataFrame) -> DataFrame:
     return pack_documents(docs).withColumnRenamed("id", "doc_id")

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprint import op5_fingerprint
 from .language import op7_language
 from .linededup import OP4_SQL, op4_line_dedup
+from .lmscore import op6_score
 from .mixing import op1_mix
 from .packing import op9_pack
 from .partenum import op3_near_duplicates
@@ -31,6 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_personal_data": _over("documents", op2_personal_data),
         "op3_near_duplicates": _over("documents", op3_near_duplicates),
         "op4_line_dedup": _over("documents", op4_line_dedup),
+        "op5_fingerprint": _over("documents", op5_fingerprint),
+        "op6_score": _over("documents", op6_score),
         "op7_language": _over("documents", op7_language),
         "op9_pack": _over("documents", op9_pack),
         "pipeline": pipeline,

@@ -53,3 +53,26 @@ def reachable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
+
+
+def bucket_of(key, edges: list[int]):
+    """The number of edges below the key, by a balanced tree of comparisons."""
+    from pyspark.sql import functions as F
+
+    def tree(low: int, high: int):
+        if low == high:
+            return F.lit(low).cast("long")
+        mid = (low + high) // 2
+        return F.when(key <= edges[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
+
+    return tree(0, len(edges))
+
+
+def range_edges(df: DataFrame, key: str, buckets: int) -> list[int]:
+    """Keys that cut df into about equal ranges: buckets - 1 numbers at most."""
+    from pyspark.sql import functions as F
+
+    if buckets <= 1:
+        return []
+    marks = [k / buckets for k in range(1, buckets)]
+    return sorted(set(df.agg(F.percentile_approx(key, marks, max(10_000, 20 * buckets))).first()[0] or []))
