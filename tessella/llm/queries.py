@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chroma import op10_chroma
 from .fingerprint import op5_fingerprint
 from .language import op7_language
 from .linededup import OP4_SQL, op4_line_dedup
@@ -14,6 +15,7 @@ from .mixing import op1_mix
 from .packing import op9_pack
 from .partenum import op3_near_duplicates
 from .personal import op2_personal_data
+from .warc import OP8_SQL, op8_archive
 from .work import reachable
 
 
@@ -36,10 +38,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_fingerprint": _over("documents", op5_fingerprint),
         "op6_score": _over("documents", op6_score),
         "op7_language": _over("documents", op7_language),
+        "op8_archive": _over("pages", op8_archive),
         "op9_pack": _over("documents", op9_pack),
+        "op10_chroma": _over("embeddings", op10_chroma),
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op8_archive": OP8_SQL}
