@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import catalog, catalog_align, catalog_data
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["catalog_align", "catalog_data", "oracle_sql", "queries"]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, catalog.Query]:
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
