@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import ranges as R
 
@@ -71,12 +72,12 @@ def relative_representation(sample: DataFrame, population: DataFrame) -> DataFra
     return a.join(b, "tag").select("tag", (F.col("a") * F.col("b")).alias("representation"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else 0.5 * (1 + math.erf(x / math.sqrt(2))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_cdf(x: pd.Series) -> pd.Series:
     """Of one degree of freedom."""
     return x.map(lambda v: None if v is None or math.isnan(v) else math.erf(math.sqrt(max(v, 0) / 2)))
