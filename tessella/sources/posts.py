@@ -112,7 +112,7 @@ def parse_api(reply: Column) -> Column:
 def read_code_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("java", "py", "hs")) -> DataFrame:
     """(path, text) of all files with these endings, in all folders below."""
     glob = "*." + ("{" + ",".join(extensions) + "}" if len(extensions) > 1 else extensions[0])
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def write_results(results: DataFrame, path: str) -> None:
