@@ -7,8 +7,6 @@ the threshold are counted exactly. A line above it stays only where it stands fi
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +51,9 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     site, rows with a null id lose every boilerplate line, and repeated rows are treated alike.
     Other columns pass through.
     """
-    taken = set(docs.columns)
-    own = reduce(lambda x, _: f"_{x}" if any(c.startswith(x) for c in taken) else x, range(9), "_ld")
+    own = "_ld"
+    while any(c.startswith(own) for c in docs.columns):
+        own = f"_{own}"
     boiler = boilerplate_lines(docs, id_col, text_col, site_col, min_sites=min_sites, min_chars=min_chars, lg_k=lg_k)
     places = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
     places = places.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.length("line") >= min_chars).select("id", "body", "pos", *_key(F.col("line")))
@@ -68,7 +67,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     at = F.col(f"{own}cut")
     kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains(at, i)), "\n")
     text = F.when(at.isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size(at), F.lit(0)).cast("long").alias(n_removed) if n_removed else F.lit(0).alias("_"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size(at), F.lit(0)).cast("long").alias(n_removed))
 
 
 def op4_line_dedup(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import reachable
+
+__all__ = ["bucket_of", "discard", "materialize", "new_path", "range_edges", "reachable", "shared_dir"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,22 +48,8 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def reachable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
-    import os
-    from pathlib import Path
-
-    root = str(Path(__file__).resolve().parents[2])
-    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
-    return spark
-
-
-def bucket_of(key, edges: list[int]):
+def bucket_of(key: Column, edges: list[int]) -> Column:
     """The number of edges below the key, by a balanced tree of comparisons."""
-    from pyspark.sql import functions as F
-
     def tree(low: int, high: int):
         if low == high:
             return F.lit(low).cast("long")
@@ -70,8 +61,6 @@ def bucket_of(key, edges: list[int]):
 
 def range_edges(df: DataFrame, key: str, buckets: int) -> list[int]:
     """Keys that cut df into about equal ranges: buckets - 1 numbers at most."""
-    from pyspark.sql import functions as F
-
     if buckets <= 1:
         return []
     marks = [k / buckets for k in range(1, buckets)]
