@@ -6,10 +6,11 @@ n2 partitions; when k differences meet n1 groups, enough groups have at most k2
 n2 - k2 partitions agree. So similar sets share a signature: the content of one subset of a
 group's partitions. A set also takes part in the next band if a partner may stand there.
 
-Documents with one set are one class. A signature links its classes to its least one; pairs pass
+Documents with one set are one class. A signature's classes first meet its least one; pairs pass
 an exact bound on parity bits, then an exact count of common shingles. Classes of a signature that
-stay in different components after that are compared in further rounds until none is left, so no
-link is lost, while a group of near copies costs a star, not all its pairs.
+stay in different components are compared by their bits alone, in blocks; only a forest of likely
+links leaves a block to be counted, and again without those that failed until none fails. So no
+link is lost, while a group of near copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ BAND = Fraction(3, 2)
 #: A signature over fewer elements than this is left out where the spare groups allow.
 LEAST_ELEMENTS = 2
 SPARE = 0.12
-#: Classes of a signature that are still apart, up to which all their pairs are compared at once.
-PAIRS_AT_ONCE = 24
+#: Classes of a signature that one task compares with as many others, by their parity bits.
+BLOCK = 2048
 
 
 @dataclass(frozen=True)
@@ -106,7 +107,7 @@ def signatures(elements: np.ndarray, similarity: Fraction) -> np.ndarray:
 def parity(elements: np.ndarray, similarity: Fraction) -> np.ndarray:
     """Bit i: whether an odd number of elements falls into slot i. Bits that differ bound the difference from below."""
     k = band(_index(len(elements), similarity), similarity).k
-    width = max(64, 1 << max(0, 4 * k - 1).bit_length())
+    width = max(64, 1 << max(0, 16 * k - 1).bit_length())
     slots = np.bincount((elements & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(slots.astype(np.uint8), bitorder="little")
 
@@ -157,10 +158,10 @@ def _verify(width: int, similarity: Fraction):
 
 @dataclass
 class Join:
-    """sets: (id, n, h1, h2, rep) of all documents; links: (a, b) between class representatives that join components."""
+    """sets: (id, n, h1, h2, rep) of all documents; labels: (node, component) of the representatives with links."""
 
     sets: DataFrame
-    links: DataFrame
+    labels: DataFrame
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, similarity: float | Fraction = Fraction(9, 10)) -> Join:
@@ -177,35 +178,125 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = materialize(shared.select("sig", "id", "hub"), "shared")
     tried = _checked(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), bits, rows, width, similarity)
     links = tried.where("linked").select("a", "b")
-    labels = _labels(links)
-    # What of each signature is still apart, without its hub, which has met all others.
-    left = shared.select("sig", "id", "hub").where("id <> hub")
-    rounds = 0
+    labels = materialize(components(links), "labels")
+    # Classes of a signature in different components are compared in blocks, the likeliest links first.
+    left = shared.select("sig", "id")
+    failed = None
     while True:
-        rounds += 1
-        left = left.drop("c").join(labels.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        apart = left.withColumn("c0", F.min("c").over(by_sig)).withColumn("c1", F.max("c").over(by_sig)).where("c0 <> c1")
-        # One hub more for each signature: the least class that isn't in the first component.
-        apart = apart.withColumn("hub", F.min(F.when(F.col("c") != F.col("c0"), F.col("id"))).over(by_sig)).withColumn("hub_c", F.min(F.when(F.col("c") != F.col("c0"), F.struct("id", "c"))).over(by_sig)["c"]).withColumn("m", F.count("*").over(by_sig))
-        apart = materialize(apart.select("sig", "id", "c", "hub", "hub_c", "m"), "apart")
-        if apart.isEmpty():
-            break
-        few = apart.where(F.col("m") <= PAIRS_AT_ONCE).select("sig", "id", "c")
-        few = few.alias("x").join(few.alias("y"), F.col("x.sig") == F.col("y.sig")).where("x.id < y.id AND x.c <> y.c").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        many = apart.where((F.col("m") > PAIRS_AT_ONCE) & (F.col("c") != F.col("hub_c")))
-        many = many.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
-        got = _checked(few.union(many).distinct(), bits, rows, width, similarity)
-        links = links.union(got.where("linked").select("a", "b"))
-        labels = _labels(links)
-        left = apart.where((F.col("m") > PAIRS_AT_ONCE) & (F.col("id") != F.col("hub"))).select("sig", "id")
-        if rounds % 8 == 0:
-            left = materialize(left, "left")
+        named = left.join(labels.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        apart = named.withColumn("c0", F.min("c").over(by_sig)).withColumn("c1", F.max("c").over(by_sig)).where("c0 <> c1")
+        part = F.floor((F.row_number().over(by_sig.orderBy("id")) - 1) / BLOCK).cast("int")
+        apart = materialize(apart.select("sig", "id", "c", part.alias("part"), F.ceil(F.count("*").over(by_sig) / BLOCK).cast("int").alias("parts")), "apart")
+        likely = materialize(_likely(apart, bits, failed, similarity), "likely")
+        got = _checked(likely, bits, rows, width, similarity)
+        labels = _merged(labels, got.where("linked").select("a", "b"))
+        wrong = got.where("NOT linked").select("a", "b").union(likely.join(got, ["a", "b"], "left_anti"))
+        if wrong.isEmpty():
+            break  # every likely link holds, so whoever is still apart is apart
+        failed = materialize(wrong if failed is None else failed.union(wrong), "failed")
+        ends = wrong.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        again = apart.join(ends, "id", "left_semi").select("sig").distinct()
+        left = apart.select("sig", "id").join(again, "sig", "left_semi")
     discard(shared)
-    return Join(sets, links)
+    return Join(sets, labels)
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return materialize(components(links), "labels")
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, component) after further links: components of the graph of components."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("component").alias("c")), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    over = components(ends.select("a", "b"))
+    mapped = labels.join(over.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    new = over.join(labels, "node", "left_anti")
+    return materialize(mapped.union(new.select("node", "component")), "labels")
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parity bits over fewer slots: halves laid over each other."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def likely_links(ids: list[int], comps: list[int], sizes: list[int], bits: list[bytes], failed: set[tuple[int, int]], similarity: Fraction) -> list[tuple[int, int]]:
+    """Pairs that may be similar and would join components: a forest, the nearest in parity bits first, and some more.
+
+    Any other pair is out of reach of the similarity, has failed, or would be joined by the
+    forest's pairs if all of them hold.
+    """
+    p, q = similarity.numerator, similarity.denominator
+    small = min(map(len, bits))
+    b = np.stack([_fold(np.frombuffer(x, np.uint8), small) for x in bits]).view(np.uint64)
+    n, c = np.array(sizes), np.unique(np.array(comps), return_inverse=True)[1]
+    found = []
+    for k in range(len(ids) - 1):
+        other = np.flatnonzero((c[k + 1 :] != c[k]) & (q * n[k + 1 :] >= p * n[k]) & (q * n[k] >= p * n[k + 1 :])) + k + 1
+        if len(other):
+            d = np.bitwise_count(b[other] ^ b[k]).sum(1, dtype=np.int64)
+            near = (p + q) * d <= (q - p) * (n[other] + n[k])
+            found.append(np.stack([d[near], np.full(near.sum(), k), other[near]], 1))
+    if not found:
+        return []
+    pairs = np.concatenate(found)
+    root = list(range(int(c.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out, spare = [], 4 * len(ids)
+    for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+        pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
+        if pair in failed:
+            continue
+        x, y = find(int(c[i])), find(int(c[j]))
+        if x != y:
+            root[x] = y
+        elif spare:  # some of the next ones as well, in case that one fails
+            spare -= 1
+        else:
+            continue
+        out.append(pair)
+    return out
+
+
+def _likely(apart: DataFrame, bits: DataFrame, failed: DataFrame | None, similarity: Fraction) -> DataFrame:
+    """(a, b): likely_links of each signature, by pairs of blocks of its classes."""
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
+    rows = apart.select("sig", "id", "c", "part", other).select("sig", "id", "c", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j")).join(bits, "id")
+    if failed is None:
+        rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
+    else:
+        rows = rows.join(failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed")), "id", "left")
+    rows = rows.select("sig", "i", "j", "id", "c", "n", "bits", "failed").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+
+        def close() -> None:
+            if len(held) > 1:
+                wrong = {(r[0], x) for r in held for x in r[4] or ()}
+                out.extend(likely_links(*[[r[k] for r in held] for k in range(4)], wrong, similarity))
+            held.clear()
+
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in range(8)]
+            for r in zip(*cols, strict=True):
+                if r[:3] != key:
+                    close()
+                    key = r[:3]
+                held.append(r[3:])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _checked(pairs: DataFrame, bits: DataFrame, rows: DataFrame, width: int, similarity: Fraction) -> DataFrame:
@@ -219,10 +310,7 @@ def _checked(pairs: DataFrame, bits: DataFrame, rows: DataFrame, width: int, sim
             keep = []
             for na, nb, xa, xb in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
                 u, v = np.frombuffer(xa, np.uint8), np.frombuffer(xb, np.uint8)
-                while len(u) > len(v):
-                    u = u[: len(u) // 2] ^ u[len(u) // 2 :]
-                while len(v) > len(u):
-                    v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+                u, v = _fold(u, len(v)), _fold(v, len(u))
                 keep.append((p + q) * int(np.bitwise_count(u ^ v).sum()) <= (q - p) * (na + nb))
             out = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
@@ -241,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the component of its set, if any; repeated rows each give a row.
     """
     join = similar_sets(docs, id_col, text_col, width=width, similarity=similarity)
-    labels = components(join.links).withColumnsRenamed({"node": "rep"})
+    labels = join.labels.withColumnRenamed("node", "rep")
     return join.sets.join(labels, "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 

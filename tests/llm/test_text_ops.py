@@ -80,8 +80,8 @@ def test_components_equal_brute_force(spark, width, similarity):
     assert got == brute_components(rows, width, similarity)
 
 
-def test_rounds_of_hubs_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(partenum, "HUBS", 1)
+def test_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "BLOCK", 3)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(60)]
     rows = []
