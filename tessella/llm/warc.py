@@ -23,6 +23,7 @@ from .work import materialize, new_path
 
 CHUNK = 1 << 16
 FILE_BYTES = 64 << 20
+BATCH_BYTES = 4 << 20
 REVISIT_FROM = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -37,16 +38,25 @@ def payload_chunks(records: DataFrame, payload: str = "payload", chunk: int = CH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple[int, int, bytes, bool]] = []
+            weight = 0
+
+            def flush() -> pa.RecordBatch:
+                own = [batch.column(i).take(pa.array([r[0] for r in rows], pa.int32())) for i in range(len(rest))]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*own, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.bool_())], names=[*rest, "chunk_no", "data", "last"])  # noqa: B023
+
             for k in range(batch.num_rows):
-                held = batch.column(len(rest))[k].as_buffer() if batch.column(len(rest))[k].is_valid else None
+                value = batch.column(len(rest))[k]
+                held = value.as_buffer() if value.is_valid else None
                 size = held.size if held is not None else 0
-                starts = range(0, max(size, 1), chunk)
-                for some in range(0, len(starts), 64):
-                    part = starts[some : some + 64]
-                    data = pa.array([held.slice(a, min(chunk, size - a)).to_pybytes() if size else b"" for a in part], pa.binary())
-                    own = [pa.concat_arrays([batch.column(i).slice(k, 1)] * len(part)) for i in range(len(rest))]
-                    numbers = range(some, some + len(part))
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int64()), data, pa.array([n == len(starts) - 1 for n in numbers])], names=[*rest, "chunk_no", "data", "last"])
+                for number, at in enumerate(range(0, max(size, 1), chunk)):
+                    rows.append((k, number, held.slice(at, min(chunk, size - at)).to_pybytes() if size else b"", at + chunk >= size))
+                    weight += min(chunk, size) + 100
+                    if weight > BATCH_BYTES:
+                        yield flush()
+                        rows, weight = [], 0
+            if rows:
+                yield flush()
 
     kinds = ", ".join(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in rest)
     return rows.mapInArrow(run, f"{kinds}, chunk_no long, data binary, last boolean")
@@ -195,7 +205,7 @@ def read_archives(archives: DataFrame, folder: str, *, with_data: bool = True, c
                                 rows.append((*own, number, data if with_data else None, running.hexdigest(), total, not left))
                                 weight += len(data) * with_data + 200
                             number += 1
-                            if weight > 4 << 20:
+                            if weight > BATCH_BYTES:
                                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(10)], names=names)
                                 rows, weight = [], 0
                             if not left:
