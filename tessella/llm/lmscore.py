@@ -84,24 +84,44 @@ class Lattice:
         score = [log(counts.get(i, 0) + 1) - total for i in range(size)]
         self.byte = {model.id_to_piece(i): score[i] for i in range(size) if model.is_byte(i)}
         self.piece = {model.id_to_piece(i): score[i] for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-        self.longest = max(map(len, self.piece), default=1)
         self.least = -total
+        self.index()
+
+    def index(self) -> None:
+        """arcs: the score of each piece, and None for what only starts one."""
+        self.arcs: dict[str, float | None] = {}
+        for p in self.piece:
+            for k in range(1, len(p)):
+                self.arcs.setdefault(p[:k], None)
+        self.arcs |= self.piece
 
     def score(self, word: str) -> float:
         """Natural log of the summed probability of all segmentations of a word and the mark before it."""
         text = "▁" + word
-        piece, longest = self.piece, self.longest
-        ahead = [0.0]
-        for j in range(1, len(text) + 1):
-            arcs = [ahead[i] + s for i in range(max(0, j - longest), j) if (s := piece.get(text[i:j])) is not None]
-            if text[j - 1] not in piece:
-                arcs.append(ahead[j - 1] + sum(self.byte.get(f"<0x{b:02X}>", self.least) for b in text[j - 1].encode()))
-            if len(arcs) == 1:
-                ahead.append(arcs[0])
-            else:
-                top = max(arcs)
-                ahead.append(top + log(sum([exp(a - top) for a in arcs])))
-        return ahead[-1]
+        n, get, piece = len(text), self.arcs.get, self.piece
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        ahead = 0.0
+        for i in range(n):
+            if i:
+                terms = into[i]
+                if len(terms) == 1:
+                    ahead = terms[0]
+                elif terms:
+                    top = max(terms)
+                    ahead = top + log(sum([exp(t - top) for t in terms]))
+                else:
+                    continue  # no segmentation has a border here
+            for j in range(i + 1, n + 1):
+                s = get(text[i:j], 0.0)
+                if s is None:
+                    continue
+                if s == 0.0:
+                    break
+                into[j].append(ahead + s)
+            if text[i] not in piece:
+                into[i + 1].append(ahead + sum(self.byte.get(f"<0x{b:02X}>", self.least) for b in text[i].encode()))
+        top = max(into[n])
+        return top + log(sum([exp(t - top) for t in into[n]]))
 
 
 def score_documents(docs: DataFrame, held: str = "held", id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -131,7 +151,7 @@ def score_documents(docs: DataFrame, held: str = "held", id_col: str = "id", tex
 
     values = counts.mapInArrow(scored, "word string, c long, lp double")
     places = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    looked = places.join(values, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c", "lp")).alias("value"))
+    looked = places.join(values, "word").groupBy("block").agg(*[F.collect_list(x).alias(x) for x in ("at", "c", "lp")])
     joined = blocks.select("block", "ids", "held", "cut", "word", "times").join(looked, "block").drop("block")
     unseen = np.log10(1 / (n + v + 1))
 
@@ -140,10 +160,10 @@ def score_documents(docs: DataFrame, held: str = "held", id_col: str = "id", tex
             for k in range(batch.num_rows):
                 ids, kept = batch.column(0)[k].values, batch.column(1)[k].values
                 cut, word, times = (batch.column(i)[k].values.to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3, 4))
-                value = batch.column(5)[k].values
-                at = value.field("at").to_numpy()
+                # The three lists gather the same rows in the same order.
+                at = batch.column(5)[k].values.to_numpy()
                 c, lp = np.zeros(len(at), np.int64), np.zeros(len(at))
-                c[at], lp[at] = value.field("c").to_numpy(), value.field("lp").to_numpy()
+                c[at], lp[at] = batch.column(6)[k].values.to_numpy(), batch.column(7)[k].values.to_numpy()
                 doc = np.repeat(np.arange(len(ids)), np.diff(cut))
                 add = lambda x: np.bincount(doc, x[word] * times, len(ids))
                 yield pa.RecordBatch.from_arrays(

@@ -205,7 +205,8 @@ def test_scores(spark, odd_rows):
 
 def test_lattice_sums_over_all_segmentations():
     lattice = lmscore.Lattice({})
-    lattice.piece, lattice.longest = {"▁a": -1.0, "▁": -2.0, "a": -1.5, "ab": -0.5, "b": -3.0}, 2
+    lattice.piece = {"▁a": -1.0, "▁": -2.0, "a": -1.5, "ab": -0.5, "b": -3.0}
+    lattice.index()
 
     def total(text):
         return 1.0 if not text else sum(math.exp(s) * total(text[len(p) :]) for p, s in lattice.piece.items() if text.startswith(p))
