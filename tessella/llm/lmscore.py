@@ -12,7 +12,7 @@ tokens, meet the corpus counts. All training words count: what is gathered grows
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, log
+from math import exp, inf, log
 
 import numpy as np
 import public_tokenizers
@@ -142,12 +142,15 @@ def score_documents(docs: DataFrame, held: str = "held", id_col: str = "id", tex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces)
+        # Log weights of a word's own arc, for each time it was seen, and of its lattice. All in log
+        # space and without a floor: a long unseen word is far below the least double.
+        arc, spell = log(own / n) if n else -inf, log(1 - own)
         for batch in batches:
             c = batch.column(1).to_numpy()
-            spelt = np.exp([0.0 if w == END else max(lattice.score(w), -700.0) for w in batch.column(0).to_pylist()])
-            spelt[[w == END for w in batch.column(0).to_pylist()]] = 0 if n else 1
-            p = own * c / max(n, 1) + (1 - own) * spelt
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10(np.maximum(p, 1e-305)))], names=["word", "c", "lp"])
+            spelt = np.array([(-inf if n else 0.0) if w == END else lattice.score(w) for w in batch.column(0).to_pylist()], float)
+            with np.errstate(divide="ignore"):
+                lp = np.logaddexp(np.log(c) + arc, spelt + spell) / log(10)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp)], names=["word", "c", "lp"])
 
     values = counts.mapInArrow(scored, "word string, c long, lp double")
     places = blocks.select("block", F.posexplode("words").alias("at", "word"))

@@ -215,6 +215,33 @@ def test_lattice_sums_over_all_segmentations():
         assert math.isclose(lattice.score(word), math.log(total("▁" + word)))
 
 
+def test_long_unseen_words_keep_their_score(spark):
+    seen = {"a": 1, "b": 1, "abc": 2}
+    texts = {2: "漢字" * 40, 3: "漢字" * 1500, 4: "aGk9/x" * 400, 5: "zq"}
+    rows = [(1, False, "a b abc abc")] + [(k, True, t) for k, t in texts.items()]
+    got = {r.id: r.score for r in lmscore.score_documents(spark.createDataFrame(rows, "id long, held boolean, text string")).collect()}
+    pieces = Counter()
+    for w, c in seen.items():
+        for i in lmscore._pieces().encode(w):
+            pieces[i] += c
+    lattice = lmscore.Lattice(pieces)
+    longest = max(map(len, lattice.piece))
+
+    def plain(word):
+        text, out = "▁" + word, [0.0]
+        for j in range(1, len(text) + 1):
+            arcs = [out[i] + lattice.piece[text[i:j]] for i in range(max(0, j - longest), j) if text[i:j] in lattice.piece]
+            if text[j - 1] not in lattice.piece:
+                arcs.append(out[j - 1] + sum(lattice.byte[f"<0x{b:02X}>"] for b in text[j - 1].encode()))
+            out.append(np.logaddexp.reduce(arcs) if arcs else -math.inf)
+        return out[-1]
+
+    n, v = 5, 4  # the end of the one training text counts as well
+    for k, t in texts.items():
+        assert math.isclose(got[k], (math.log(v / (n + v)) + plain(lower(t)) + math.log(1 / (n + v))) / math.log(10), rel_tol=1e-9), k
+    assert got[3] < 30 * got[2] < -9000
+
+
 def test_fingerprints(spark, odd_rows, monkeypatch):
     monkeypatch.setattr(fingerprint, "ROWS_A_BUCKET", 5)
     rows = sorted({r for r in odd_rows if r[0] is not None}, key=lambda r: -r[0])
