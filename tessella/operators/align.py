@@ -6,6 +6,9 @@ other form an island, which is a maximal run of k - 1 more tokens than hits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,32 +104,91 @@ def fuzzy_words(queries: DataFrame, words: DataFrame, most: int, *, q: str = "qu
     return both.withColumn("dist", F.levenshtein("query", "word", most)).where("dist >= 0")
 
 
+def corners(a: list, b: list, most: int) -> list[tuple[int, int, int]]:
+    """(i, j, edits): prefixes a[:i], b[:j] at most `most` edits apart that end on an equal token, or are
+    empty; less those inside others of no more edits. A band of an edit distance, row by row."""
+    over, width = most + 1, 2 * most + 1
+    row = [over] * most + list(range(most + 1))  # by j - i + most
+    last: dict[tuple[int, int], int] = {(0, most): 0}
+    for i, x in enumerate(a, 1):
+        new: list[int] = []
+        for s in range(width):
+            j = i + s - most
+            if j < 1 or j > len(b):
+                c = i if j == 0 else over
+            elif x == b[j - 1]:
+                c = row[s]
+                if c <= most:
+                    last[c, s] = i
+            else:
+                c = 1 + min(row[s], new[s - 1] if s else over, row[s + 1] if s + 1 < width else over)
+            new.append(c)
+        row = new
+        if min(row) > most:
+            break
+    found = [(i, i + s - most, e) for (e, s), i in last.items()]
+    return [x for x in found if not any(y != x and y[0] >= x[0] and y[1] >= x[1] and y[2] <= x[2] for y in found)]
+
+
+def grown(q: list, f: list, runs: list[tuple[int, int, int]], k: int, most: int) -> list[tuple[int, int, int, int, int]]:
+    """(q_start, q_end, f_start, f_end, dist): the largest ranges of k or more tokens of q, at most `most`
+    edits from their range of f, through any of the runs (q_start, f_start, size) of equal tokens.
+
+    An alignment that meets a run follows it but for fewer than `most` tokens at either end, or lies in a
+    larger one; so it goes through the middle of a long run.
+    """
+    best: dict[tuple[int, int, int, int], int] = {}
+    for q0, f0, size in runs:
+        for at in [size // 2] if size >= 2 * most else range(size + 1):
+            p, r = q0 + at, f0 + at
+            after = corners(q[p : p + len(f) - r + most], f[r : r + len(q) - p + most], most)
+            before = corners(q[max(0, p - r - most) : p][::-1], f[max(0, r - p - most) : r][::-1], most)
+            for i, j, e in before:
+                for m, n, d in after:
+                    if e + d <= most and i + m >= k:
+                        key = (p - i, p + m, r - j, r + n)
+                        best[key] = min(best.get(key, most), e + d)
+    kept: list[tuple[int, int, int, int]] = []
+    # Those that hold another come before it.
+    for x in sorted(best, key=lambda x: (x[0], -x[1], x[2], -x[3])):
+        if not any(y[1] >= x[1] and y[2] <= x[2] and y[3] >= x[3] for y in kept):
+            kept.append(x)
+    return [(*x, best[x]) for x in kept]
+
+
 def fuzzy_matches(queries: DataFrame, fragments: DataFrame, k: int, most: int) -> DataFrame:
-    """Matches of k or more tokens with up to `most` edits between them: seeds of k // (most + 1) equal
-    tokens on nearby diagonals are joined while the edits they imply stay within the budget.
+    """(query_id, frag_id, q_start, q_end, f_start, f_end, dist): every maximal pair of ranges, k or more
+    tokens of the query, that start and end on equal tokens and are at most `most` edits apart.
 
-    A greedy extension: each island starts a match, and later islands of the same pair join it if
-    the tokens between differ by no more than what is left. With most = 0 it equals exact_matches.
+    Such ranges share a run of k // (most + 1) tokens; each run is a seed that grows both ways by a banded
+    edit distance. dist is the edit distance; ranges inside another pair of ranges are left out. With
+    most = 0 it equals exact_matches.
     """
-    seed = max(1, k // (most + 1))
-    base = exact_matches(queries, fragments, seed)
+    base = exact_matches(queries, fragments, max(1, k // (most + 1)))
     if most == 0:
         return base
-    runs = base.groupBy("query_id", "frag_id").agg(F.array_sort(F.collect_list(F.struct("q_start", "f_start", "q_end", "f_end"))).alias("runs"))
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        dq, df = r["q_start"] - last["q_end"], r["f_start"] - last["f_end"]
-        edits = F.greatest(dq, df, F.lit(0))
-        edits = F.when((dq < 0) | (df < 0), F.abs(dq - df)).otherwise(edits)
-        fits = (F.size(acc) > 0) & (r["q_end"] > last["q_end"]) & (r["f_end"] > last["f_end"]) & (last["dist"] + edits <= most)
-        grown = F.struct(last["q_start"].alias("q_start"), last["f_start"].alias("f_start"), r["q_end"].alias("q_end"), r["f_end"].alias("f_end"), (last["dist"] + edits).alias("dist"))
-        new = F.struct(r["q_start"].alias("q_start"), r["f_start"].alias("f_start"), r["q_end"].alias("q_end"), r["f_end"].alias("f_end"), F.lit(0).alias("dist"))
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
-
-    zero = F.array().cast("array<struct<q_start:int,f_start:int,q_end:int,f_end:int,dist:int>>")
-    joined = runs.select("query_id", "frag_id", F.explode(F.aggregate("runs", zero, step)).alias("m"))
-    return joined.select("query_id", "frag_id", "m.q_start", "m.q_end", "m.f_start", "m.f_end", "m.dist").where(F.col("q_end") - F.col("q_start") >= k)
+    runs = base.groupBy("query_id", "frag_id").agg(F.collect_list(F.struct("q_start", "f_start", (F.col("q_end") - F.col("q_start")).alias("size"))).alias("runs"))
+    q, f = queries.select(F.col("query_id").alias("_q"), F.col("tokens").alias("_qt")), fragments.select(F.col("frag_id").alias("_f"), F.col("tokens").alias("_ft"))
+    pairs = runs.join(q, F.col("query_id").eqNullSafe(F.col("_q"))).join(f, F.col("frag_id").eqNullSafe(F.col("_f")))
+    # Only the part of the query that a fragment can reach goes on.
+    low = F.greatest(F.lit(0), F.array_min(F.transform("runs", lambda x: x["q_start"] - x["f_start"])) - most)
+    high = F.array_max(F.transform("runs", lambda x: x["q_start"] - x["f_start"])) + F.size("_ft") + most
+    pairs = pairs.select("query_id", "frag_id", "runs", low.alias("low"), F.slice("_qt", low + 1, high - low).alias("q"), F.col("_ft").alias("f"))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for at, (runs, low, q, f) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
+                found = grown(q, f, [(x["q_start"] - low, x["f_start"], x["size"]) for x in runs], k, most)
+                rows += [at] * len(found)
+                out += [(a + low, b + low, c, d, e) for a, b, c, d, e in found]
+            at = pa.array(rows, pa.int64())
+            columns = [pa.array([x[i] for x in out], pa.int32()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=[*names, "q_start", "q_end", "f_start", "f_end", "dist"])
+
+    names = ["query_id", "frag_id"]
+    types = ", ".join(f"{n} {base.schema[n].dataType.simpleString()}" for n in names)
+    return pairs.mapInArrow(grow, f"{types}, q_start int, q_end int, f_start int, f_end int, dist int")
 
 
 def text_range(tokens: Column, start: Column, end: Column) -> Column:

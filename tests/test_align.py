@@ -72,6 +72,53 @@ def test_distance_finds_what_exact_search_misses(spark):
     assert [(r.q_start, r.q_end) for r in rows] == [(0, 12)] and 0 < rows[0].dist <= 2
 
 
+def fuzzy_brute_force(q, f, k, most):
+    """Largest of all pairs of ranges that start and end on equal tokens, by whole edit distances."""
+    near = {}
+    for a in range(len(q)):
+        for c in range(len(f)):
+            if q[a] != f[c]:
+                continue
+            row = list(range(len(f) - c + 1))
+            for b in range(a + 1, len(q) + 1):
+                row, last = [b - a], row
+                for d in range(c + 1, len(f) + 1):
+                    same = q[b - 1] == f[d - 1]
+                    row.append(min(last[d - c] + 1, row[-1] + 1, last[d - c - 1] + (not same)))
+                    if same and row[-1] <= most and b - a >= k:
+                        near[a, b, c, d] = row[-1]
+    inside = lambda x, y: x != y and y[0] <= x[0] and x[1] <= y[1] and y[2] <= x[2] and x[3] <= y[3]
+    return {(*x, e) for x, e in near.items() if not any(inside(x, y) for y in near)}
+
+
+def test_fuzzy_matches_equal_brute_force(spark):
+    rng = random.Random(9)
+    text = lambda: [rng.choice("abc") for _ in range(rng.randint(0, 16))]
+    queries, fragments = [(i, text()) for i in range(12)], [(i, text()) for i in range(12)]
+    for _, t in queries[:6]:  # few edits apart
+        copy = list(t)
+        for _ in range(2):
+            at = rng.randint(0, len(copy))
+            del copy[at : at + 1]
+            copy.insert(rng.randint(0, len(copy)), rng.choice("abc"))
+        fragments.append((len(fragments), copy))
+    q, f = frames(spark, queries, fragments)
+    for k, most in ((2, 3), (5, 1), (6, 2), (8, 3)):
+        got = [tuple(r) for r in align.fuzzy_matches(q, f, k, most).collect()]
+        want = {(a, b, m[0], m[1], m[2], m[3], m[4]) for a, s in queries for b, t in fragments for m in fuzzy_brute_force(s, t, k, most)}
+        assert len(got) == len(set(got)) and set(got) == want, (k, most)
+
+
+def test_edits_cost_their_distance(spark):
+    w = [f"w{i}" for i in range(60)]
+    close = w[:18] + ["X", *w[18:21], "Y"] + w[21:39]  # two edits, three equal tokens between them
+    parts = w[:4] + ["X"] + w[5:11] + ["Y"] + w[12:20]  # runs of 4, 6 and 8
+    again = w[20:26] + ["n0"] + w[:10] + ["X"] + w[11:25]  # a run on another diagonal first
+    q, f = frames(spark, [(1, w[:18] + ["x", *w[18:21], "y"] + w[21:39]), (2, w[:20]), (3, w[:25])], [(1, close), (2, parts), (3, again)])
+    got = {tuple(r) for r in align.fuzzy_matches(q, f, 20, 2).collect()}
+    assert {(1, 1, 0, 41, 0, 41, 2), (2, 2, 0, 20, 0, 20, 2), (3, 3, 0, 25, 7, 32, 1)} <= got
+
+
 def test_fuzzy_words_equal_all_pairs(spark):
     rng = random.Random(5)
     words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(0, 7))) for _ in range(60)})
