@@ -3,7 +3,7 @@
 Short spectra are folded into 12 pitch classes, smoothed and scaled. Filters that compare sums of
 rectangles of that image, taken from its integral image, give two bits each: one packed integer
 of 32 bits a frame. Equal integers of two recordings vote for an offset between them; the share of
-differing bits at the offset with most votes tells whether they hold the same sound.
+differing bits at the offsets with most votes tells whether they hold the same sound.
 """
 
 from __future__ import annotations
@@ -102,24 +102,71 @@ def audio_fingerprints(media: DataFrame, id_col: str, audio_col: str = "audio")
     return rows.mapInArrow(run, f"id {media.schema[id_col].dataType.simpleString()}, frames array<int>")
 
 
+def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of one value."""
+    at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    return at, np.diff(np.r_[at, len(a)])
+
+
+def offset_votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each offset from 1 - len(a) to len(b) - 1, how many frames of a equal the one of b that far on.
+
+    Two runs of one value add a trapezoid, which four points of its second difference make.
+    """
+    (at, size), (bt, bsize) = _runs(a), _runs(b)
+    order = np.argsort(b[bt], kind="stable")
+    values = b[bt][order]
+    low, high = np.searchsorted(values, a[at], "left"), np.searchsorted(values, a[at], "right")
+    n = high - low
+    i = np.repeat(np.arange(len(at)), n)
+    j = order[np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(low, n)]
+    first = bt[j] - at[i] - size[i] + len(a)  # the offset of one shared frame, from 1 - len(a)
+    bend = np.zeros(len(a) + len(b) + 1, np.int64)
+    for where, by in ((first, 1), (first + size[i], -1), (first + bsize[j], -1), (first + size[i] + bsize[j], 1)):
+        bend += by * np.bincount(where, minlength=len(bend))
+    return bend.cumsum().cumsum()[: len(a) + len(b) - 1]
+
+
+def best_offset(a: np.ndarray, b: np.ndarray, most_error: float, least_overlap: int) -> tuple[int, float] | None:
+    """(offset, bit error) with most votes of those that overlap and agree enough (ties: least error, then smallest)."""
+    votes = offset_votes(a, b)
+    offset = np.arange(len(votes)) + 1 - len(a)
+    start = np.maximum(0, -offset)
+    length = np.minimum(len(a) - start, len(b) - start - offset)
+    use = np.flatnonzero((votes > 0) & (length >= least_overlap))
+    best = None
+    for k in use[np.argsort(-votes[use], kind="stable")].tolist():
+        if best and votes[k] < -best[0]:
+            break
+        s, n, o = int(start[k]), int(length[k]), int(offset[k])
+        error = int(np.bitwise_count((a[s : s + n] ^ b[s + o : s + o + n]).view(np.uint32)).sum()) / (32 * n)
+        if error <= most_error:
+            best = min(best or (1,), (-int(votes[k]), error, abs(o), o))
+    return best and (best[3], best[1])
+
+
 def align(prints: DataFrame, is_query, *, most_error: float = 0.30, least_overlap: int = 16) -> DataFrame:
     """(q, r, offset, bit_error): classes of recordings that match a query's, from (id, frames).
 
-    Recordings with equal fingerprints are one class, named by its least id: q and r. Each pair is
-    judged at the offset most equal integers vote for (ties: the smallest), over the frames they
-    share there. Runs of one integer vote with their first and last frame.
+    Recordings with equal fingerprints are one class, named by its least id: q and r. Each pair of
+    equal integers votes for an offset; of all offsets with a vote and enough shared frames, a pair
+    takes the one with most votes whose error is small enough (ties: the least error, then the
+    smallest offset).
     """
     classes = materialize(prints.where(F.size("frames") > 0).groupBy("frames").agg(F.min("id").alias("r"), F.max(is_query).alias("asks")), "audio")
-    edge = F.filter(F.transform("frames", lambda v, i: F.struct(v.alias("v"), i.alias("at"))), lambda x: (x["at"] == 0) | (x["at"] == F.size("frames") - 1) | (F.element_at("frames", F.greatest(x["at"], F.lit(1))) != x["v"]) | (F.element_at("frames", F.least(x["at"] + 2, F.size("frames"))) != x["v"]))
-    votes = lambda rows, name: rows.select(F.col("r").alias(name), F.explode(edge).alias("x")).select(name, F.col("x.v").alias("v"), F.col("x.at").alias(f"{name}_at"))
-    pairs = votes(classes.where("asks"), "q").join(votes(classes, "r"), "v").groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("n"))
-    peak = pairs.groupBy("q", "r").agg(F.max(F.struct("n", (-F.abs("offset")).alias("near"), "offset")).alias("m")).select("q", "r", F.col("m.offset").alias("offset"))
-    both = peak.join(classes.select(F.col("r").alias("q"), F.col("frames").alias("fq")), "q").join(classes.select("r", F.col("frames").alias("fr")), "r")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    length = F.least(F.size("fq") - start, F.size("fr") - start - F.col("offset"))
-    both = both.withColumn("length", length).where(F.col("length") >= least_overlap)
-    bits = F.aggregate(F.zip_with(F.slice("fq", start + 1, F.col("length")), F.slice("fr", start + F.col("offset") + 1, F.col("length")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b)
-    return both.select("q", "r", "offset", (bits / (32 * F.col("length"))).alias("bit_error")).where(F.col("bit_error") <= most_error)
+    values = lambda rows, name: rows.select(F.col("r").alias(name), F.explode(F.array_distinct("frames")).alias("v"))
+    pairs = values(classes.where("asks"), "q").join(values(classes, "r"), "v").select("q", "r").distinct()
+    both = pairs.join(classes.select(F.col("r").alias("q"), F.col("frames").alias("fq")), "q").join(classes.select("r", F.col("frames").alias("fr")), "r").select("q", "r", "fq", "fr")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [best_offset(*(batch.column(c)[k].values.to_numpy() for c in (2, 3)), most_error, least_overlap) for k in range(batch.num_rows)]
+            at = pa.array([k for k, x in enumerate(found) if x], pa.int64())
+            found = [x for x in found if x]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.float64())], names=["q", "r", "offset", "bit_error"])
+
+    kind = classes.schema["r"].dataType.simpleString()
+    return both.mapInArrow(judge, f"q {kind}, r {kind}, offset int, bit_error double")
 
 
 NOTE = 512

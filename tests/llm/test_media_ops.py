@@ -72,6 +72,32 @@ def test_recordings_align(spark):
     assert set(links) == {(4, 4), (4, 1), (4, 2)}
 
 
+def test_offset_votes_equal_all_pairs():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (np.repeat(rng.integers(0, 4, 12), rng.integers(1, 6, 12))[: rng.integers(1, 40)].astype(np.int32) for _ in range(2))
+        want = [sum(a[i] == b[i + o] for i in range(len(a)) if 0 <= i + o < len(b)) for o in range(1 - len(a), len(b))]
+        assert chroma.offset_votes(a, b).tolist() == want
+
+
+def test_sustained_tones_and_short_overlaps_align(spark):
+    rng = np.random.default_rng(6)
+    noise = lambda n: rng.integers(-(2**31), 2**31, n).tolist()
+    tone, same = [77] * 50, noise(18)
+    rows = [(100, tone), (1, noise(300) + [77] * 100 + noise(50))]
+    # The overlap of most votes is too short; the error at the offset of most votes is too large.
+    rows += [(200, [5] * 12 + same), (2, same[:9] + [x ^ 1 for x in same[9:]] + noise(30) + [5] * 12)]
+    rows += [(300, [3] * 12 + noise(88)), (3, noise(100))]
+    far, near = rows[-1][1], rows[-2][1]
+    far[60:72] = [3] * 12  # 12 votes at 60 amid 28 others; 11 at -84, where the rest agrees as well
+    far[:16] = near[84:95] + [x ^ 1 for x in near[95:]]
+    prints = spark.createDataFrame(rows, "id long, frames array<int>")
+    links = {(r.q, r.r): (r.offset, r.bit_error) for r in chroma.align(prints, prints["id"] % 100 == 0).where("q <> r").collect()}
+    assert links[100, 1] == (300, 0.0)  # of 300 to 350, all with 50 votes
+    assert links[200, 2][0] == -12 and links[300, 3][0] == -84
+    assert set(links) == {(100, 1), (200, 2), (300, 3)}
+
+
 def test_unreadable_audio_has_no_frames():
     assert len(chroma.fingerprint(None)) == len(chroma.fingerprint(b"x")) == len(chroma.fingerprint(wav(np.zeros(10)))) == 0
 
