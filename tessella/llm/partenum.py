@@ -338,9 +338,16 @@ def op3_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, *, width: int = 5, similarity: float | Fraction = Fraction(4, 5)) -> DataFrame:
-    """Of each component of near duplicates the document with the least id stays; rows with a null id stay."""
-    got = near_duplicates(docs, width=width, similarity=similarity)
-    gone = got.where("component_id <> id").select(F.col("id").alias("_gone")).distinct()
-    gone = materialize(gone, "gone")
-    rest = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return rest
+    """Of each component of near duplicates one row stays, that of the least id; null ids come last.
+
+    Where ids repeat or are null, rows are numbered first, so that each row is judged by its own text.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        got = near_duplicates(docs, width=width, similarity=similarity)
+        gone = materialize(got.where("component_id <> id").select(F.col("id").alias("_gone")).distinct(), "gone")
+        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    got = near_duplicates(rows, "_row", width=width, similarity=similarity).join(rows.select(F.col("_row").alias("id"), "doc_id"), "id")
+    first = got.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("m"))
+    kept = materialize(first.select(F.col("m.id").alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").drop("_row")

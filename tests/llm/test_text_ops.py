@@ -93,6 +93,17 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert got == brute_components(rows, 1, Fraction(19, 20))
 
 
+def test_one_row_of_each_component_stays(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    near = text["a"] + " more"
+    rows = [(1, "a"), (1, "a"), (None, "a"), (2, "near"), (2, "b"), (3, "b"), (None, "c"), (None, "c"), (4, "d")]
+    rows = [(k, (text | {"near": near})[t], "en", "s") for k, t in rows]
+    got = partenum.keep_one_of_each(table(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, text["a"]), (2, text["b"]), (None, text["c"]), (4, text["d"])], key=str)
+    unique = [(k, t, "en", "s") for k, t in ((5, text["a"]), (3, near), (9, text["b"]))]
+    assert {r.doc_id for r in partenum.keep_one_of_each(table(spark, unique)).collect()} == {3, 9}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10_000), st.integers(3, 300), st.sampled_from([Fraction(9, 10), Fraction(4, 5)]))
 def test_similar_sets_share_a_signature(seed, n, similarity):
