@@ -418,4 +418,4 @@ def mutated(t: Tables) -> DataFrame:
 def survival(t: Tables) -> DataFrame:
     f = t.benchmark.select(F.col("item_id").alias("frag_id"), "text")
     presets = {k: with_overrides(p, blocks=False, semantic=None) for k, p in (("high", HIGH), ("medium", MEDIUM), ("low", LOW))}
-    return analytics.survival(mutate.survival_curve(f, "words", mutate.replace_identifier, 4, presets, seed=5))
+    return analytics.survival(mutate.survival_curve(f, "words", mutate.replace_identifier, 10, presets, seed=5))

@@ -38,3 +38,8 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, str(DATA)).count() > 0
+
+
+def test_survival_runs_all_steps_of_the_survey(spark):
+    rows = registry.queries()["mut11_survival"](spark, str(DATA)).collect()
+    assert {(r.preset, r.step) for r in rows} == {(p, k) for p in ("low", "medium", "high") for k in range(1, 11)}
