@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import discard, materialize
+from .work import discard, materialize, with_least
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges(a, b) of longs: the least node of each component.
 
-    Each round keeps a node's neighbours in one sorted, spilling window, never in memory at once,
-    and is written to the shared folder. Nodes of no edge, loops alone and null ends give no row.
+    A node's neighbours are dealt over slices, so a hub is no single task's; each round is written
+    to the shared folder. Nodes of no edge, loops alone and null ends give no row.
     """
     e = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        around = Window.partitionBy("a")
         # Large star: larger neighbours link to the least of the neighbourhood.
-        low = F.least(F.min("b").over(around), F.col("a"))
-        large = both.select("a", "b", low.alias("low")).where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
+        large = with_least(both, ["a"], "b", "low").where("b > a").select(F.least("low", "a").alias("a"), "b").distinct()
         # Small star: smaller neighbours and the node itself link to the least.
-        small = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        small = small.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("low"))
+        small = with_least(large.select(F.col("b").alias("u"), F.col("a").alias("v")), ["u"], "v", "low")
         new = small.select(F.col("low").alias("a"), F.col("v").alias("b")).union(small.select(F.col("low").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
         new = materialize(new, "edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

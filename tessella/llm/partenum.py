@@ -6,11 +6,12 @@ n2 partitions; when k differences meet n1 groups, enough groups have at most k2
 n2 - k2 partitions agree. So similar sets share a signature: the content of one subset of a
 group's partitions. A set also takes part in the next band if a partner may stand there.
 
-Documents with one set are one class. A signature's classes first meet its least one; pairs pass
-an exact bound on parity bits, then an exact count of common shingles. Classes of a signature that
-stay in different components are compared by their bits alone, in blocks; only a forest of likely
-links leaves a block to be counted, and again without those that failed until none fails. So no
-link is lost, while a group of near copies costs rows in proportion to its size.
+Documents with one set are one class. A signature's classes first meet its least one, then the
+least of the rest; pairs pass an exact bound on parity bits, then an exact count of common
+shingles. Classes of a signature that stay in different components are compared by their bits
+alone, in blocks; a forest of likely links leaves a block to be counted, and where one of them
+fails, all that the bits let pass. So no link is lost, while a group of near copies costs rows in
+proportion to its size.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .textvec import chunks, mix64, shingles, word_hashes
-from .work import discard, materialize
+from .work import discard, materialize, with_least
 
 PARTITIONS = 2  # n2
 DIFFERING = 1  # k2
@@ -37,10 +38,12 @@ SUBSETS = list(combinations(range(PARTITIONS), PARTITIONS - DIFFERING))
 #: A band ends at this many times its start.
 BAND = Fraction(3, 2)
 #: A signature over fewer elements than this is left out where the spare groups allow.
-LEAST_ELEMENTS = 2
+LEAST_ELEMENTS = 3
 SPARE = 0.12
 #: Classes of a signature that one task compares with as many others, by their parity bits.
-BLOCK = 2048
+BLOCK = 1024
+#: Parity slots for each difference that a pair may have.
+SLOTS = 5
 
 
 @dataclass(frozen=True)
@@ -49,7 +52,6 @@ class Band:
     high: int
     k: int
     groups: int
-    spare: int
 
 
 @lru_cache(4096)
@@ -59,8 +61,7 @@ def band(index: int, similarity: Fraction) -> Band:
     k = floor((1 - similarity) / (1 + similarity) * 2 * high)
     # At least groups - k / (k2 + 1) groups have at most k2 differences each.
     need = k // (DIFFERING + 1) + 1
-    spare = int(need * SPARE)
-    return Band(low, high, k, need + spare, spare)
+    return Band(low, high, k, need + int(need * SPARE))
 
 
 @lru_cache(65536)
@@ -79,13 +80,23 @@ def _index(n: int, similarity: Fraction) -> int:
     return i
 
 
-def signatures(elements: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """All signatures of a sorted set. Bands without room for a difference give none: equal sets are one class already."""
-    out = []
-    for i in bands_of(len(elements), similarity):
+def signatures(elements: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a sorted set, with the band in the low byte, and how many more of the band may be left out.
+
+    A set's partners of a band differ from it in at most as many elements as the largest of them
+    may, so they agree with it in more than `spare` groups. Hence each set may go without its last
+    `spare` signatures, in any order that depends on signatures alone: here those over the fewest
+    elements, if fewer than LEAST_ELEMENTS. Bands without room for a difference give none: equal
+    sets are one class already.
+    """
+    n = len(elements)
+    out, rest = [np.zeros(0, np.uint64)], [np.zeros(0, np.int16)]
+    for i in bands_of(n, similarity):
         b = band(i, similarity)
         if b.k == 0:
             continue
+        k = floor((1 - similarity) / (1 + similarity) * (n + min(b.high, floor(n / similarity))))
+        spare = b.groups - k // (DIFFERING + 1) - 1
         slots = b.groups * PARTITIONS
         at = ((elements >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
         edges = np.searchsorted(at, np.arange(slots + 1, dtype=np.uint64))
@@ -93,65 +104,100 @@ def signatures(elements: np.ndarray, similarity: Fraction) -> np.ndarray:
         np.cumsum(mix64(elements + np.uint64(i)), out=total[1:])
         sums = (total[edges[1:]] - total[edges[:-1]]).reshape(b.groups, PARTITIONS)
         counts = np.diff(edges).reshape(b.groups, PARTITIONS)
-        held = np.stack([counts[:, s].sum(1) for s in map(list, SUBSETS)], 1)
-        thin = held < LEAST_ELEMENTS
-        keep = ~thin if thin.any(1).sum() <= b.spare else np.ones_like(thin)
+        sigs, held = [], []
         for s, subset in enumerate(SUBSETS):
             h = np.full(b.groups, (i << 8) + s, np.uint64) + np.arange(b.groups, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             for p in subset:
                 h = mix64(h) + sums[:, p]
-            out.append(mix64(h)[keep[:, s]])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            sigs.append((mix64(h) & ~np.uint64(255)) | np.uint64(i))
+            held.append(counts[:, list(subset)].sum(1))
+        sig, size = np.concatenate(sigs), np.concatenate(held)
+        thin = min(spare, int((size < LEAST_ELEMENTS).sum()))
+        out.append(sig[np.lexsort((sig, size))[thin:]])
+        rest.append(np.full(len(out[-1]), spare - thin, np.int16))
+    return np.concatenate(out), np.concatenate(rest)
 
 
 def parity(elements: np.ndarray, similarity: Fraction) -> np.ndarray:
     """Bit i: whether an odd number of elements falls into slot i. Bits that differ bound the difference from below."""
     k = band(_index(len(elements), similarity), similarity).k
-    width = max(64, 1 << max(0, 16 * k - 1).bit_length())
+    width = max(64, 1 << max(0, SLOTS * k - 1).bit_length())
     slots = np.bincount((elements & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(slots.astype(np.uint8), bitorder="little")
 
 
-def _sets(width: int, similarity: Fraction):
+def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The sets of whole documents, some at a time, with the index of the first."""
+    for c in chunks(texts):
+        hashes, first = word_hashes(c)
+        yield c.first, [shingles(hashes[first[k] : first[k + 1]], width) for k in range(len(c))]
+
+
+def _named(width: int):
+    """(id, n, h1, h2) of (id, text): the set's size and 128 bits that stand for it."""
+
+    def total(e: np.ndarray, salt: int) -> np.uint64:
+        return np.add.reduce(mix64(e ^ np.uint64(salt))) if len(e) else np.uint64(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, sets in _sets(batch.column(1), width):
+                h1, h2 = (pa.array(np.array([total(e, salt) for e in sets], np.uint64).view(np.int64)) for salt in (0, 0x5851F42D4C957F2D))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([len(e) for e in sets], pa.int64()), h1, h2], names=["id", "n", "h1", "h2"])
+
+    return run
+
+
+def _signed(width: int, similarity: Fraction):
+    """(id, n, sigs, rest, bits) of (id, text), for sets that aren't empty."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column(1)):
-                hashes, first = word_hashes(c)
-                n, low, high, sigs, bits = [], [], [], [], []
-                for k in range(len(c)):
-                    e = shingles(hashes[first[k] : first[k + 1]], width)
-                    n.append(len(e))
-                    low.append(np.add.reduce(mix64(e)) if len(e) else np.uint64(0))
-                    high.append(np.add.reduce(mix64(e ^ np.uint64(0x5851F42D4C957F2D))) if len(e) else np.uint64(0))
-                    sigs.append(signatures(e, similarity).view(np.int64) if len(e) else np.zeros(0, np.int64))
-                    bits.append(parity(e, similarity).tobytes() if len(e) else b"")
+            for first, sets in _sets(batch.column(1), width):
+                some = [k for k, e in enumerate(sets) if len(e)]
+                if not some:
+                    continue
+                sigs, rest = zip(*(signatures(sets[k], similarity) for k in some), strict=True)
                 offsets = np.zeros(len(sigs) + 1, np.int32)
                 np.cumsum([len(s) for s in sigs], out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, len(c)), pa.array(n, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs))), pa.array(bits, pa.binary())], names=["id", "n", "h1", "h2", "sigs", "bits"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(np.array(some) + first)),
+                        pa.array([len(sets[k]) for k in some], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rest))),
+                        pa.array([parity(sets[k], similarity).tobytes() for k in some], pa.binary()),
+                    ],
+                    names=["id", "n", "sigs", "rest", "bits"],
+                )
 
     return run
 
 
 def _verify(width: int, similarity: Fraction):
+    """(a, b, linked) of rows (a, b, text) where a's own text, with null b, comes before those of its partners."""
     p, q = similarity.numerator, similarity.denominator
 
-    def sets(texts: pa.Array) -> Iterator[np.ndarray]:
-        for c in chunks(texts):
-            hashes, first = word_hashes(c)
-            for k in range(len(c)):
-                yield shingles(hashes[first[k] : first[k + 1]], width)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        held: list[np.ndarray] = []  # an id may have several texts
+        hub = None
         for batch in batches:
-            linked = []
-            hubs = batch.column(0).to_pylist()
-            for k, own in enumerate(sets(batch.column(2))):
-                if hubs[k] != last:
-                    last, held = hubs[k], next(sets(batch.column(3).slice(k, 1)))
-                common = len(own) + len(held) - len(np.union1d(own, held))
-                linked.append(q * common >= p * (len(own) + len(held) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = []
+            for first, sets in _sets(batch.column(2), width):
+                for k, own in enumerate(sets, first):
+                    if a[k] != hub:
+                        hub, held = a[k], []
+                    if b[k] is None:
+                        held.append(own)
+                        continue
+                    linked = False
+                    for other in held:
+                        both = len(own) + len(other)
+                        common = both - len(np.union1d(own, other))
+                        linked |= q * common >= p * (both - common)
+                    out.append((a[k], b[k], linked))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "linked"])
 
     return run
 
@@ -167,40 +213,60 @@ class Join:
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, similarity: float | Fraction = Fraction(9, 10)) -> Join:
     similarity = Fraction(similarity).limit_denominator(1000)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = materialize(rows.mapInArrow(_sets(width, similarity), "id long, n long, h1 long, h2 long, sigs array<long>, bits binary"), "sets")
-    classes = found.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    sets = materialize(found.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left"), "classes")
-    reps = found.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"])
-    bits = reps.select("id", "n", "bits")
-    by_sig = Window.partitionBy("sig")
-    shared = reps.select("id", F.explode("sigs").alias("sig"))
-    shared = shared.select("sig", "id", F.min("id").over(by_sig).alias("hub"), F.max("id").over(by_sig).alias("top")).where("hub <> top")
-    shared = materialize(shared.select("sig", "id", "hub"), "shared")
-    tried = _checked(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), bits, rows, width, similarity)
-    links = tried.where("linked").select("a", "b")
-    labels = materialize(components(links), "labels")
-    # Classes of a signature in different components are compared in blocks, the likeliest links first.
-    left = shared.select("sig", "id")
-    failed = None
-    while True:
-        named = left.join(labels.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        apart = named.withColumn("c0", F.min("c").over(by_sig)).withColumn("c1", F.max("c").over(by_sig)).where("c0 <> c1")
-        part = F.floor((F.row_number().over(by_sig.orderBy("id")) - 1) / BLOCK).cast("int")
-        apart = materialize(apart.select("sig", "id", "c", part.alias("part"), F.ceil(F.count("*").over(by_sig) / BLOCK).cast("int").alias("parts")), "apart")
-        likely = materialize(_likely(apart, bits, failed, similarity), "likely")
+    found = materialize(rows.mapInArrow(_named(width), "id long, n long, h1 long, h2 long"), "named")
+    sets = materialize(with_least(found, ["h1", "h2", "n"], "id", "rep").withColumn("rep", F.expr("CASE WHEN n > 0 THEN rep END")), "classes")
+    discard(found)
+    # Ids that stand for no class need no signatures.
+    copies = sets.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.max(F.col("id") == F.col("rep")).alias("own")).where("NOT own")
+    signed = materialize(rows.where("id IS NOT NULL").join(copies, "id", "left_anti").mapInArrow(_signed(width, similarity), "id long, n long, sigs array<long>, rest array<smallint>, bits binary"), "signed")
+    bits = materialize(signed.select("id", "n", "bits"), "bits")
+    by_sig = signed.select("id", F.explode("sigs").alias("sig"))
+    # Counts by signature are combined before their shuffle; the rows of one met twice follow, where AQE splits skewed keys.
+    several = by_sig.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("top"), F.count("*").alias("size"))
+    several = materialize(several.where("low <> top").select("sig", "size"), "several")
+    with_rest = signed.select("id", F.explode(F.arrays_zip("sigs", "rest")).alias("x")).select("id", F.col("x.sigs").alias("sig"), F.col("x.rest").alias("rest"))
+    # A set goes without the most frequent of its signatures, as many as its band still spares.
+    last = Window.partitionBy("id", F.col("sig").bitwiseAND(255)).orderBy(F.desc("size"), F.desc("sig"))
+    left = with_rest.join(several, "sig").withColumn("place", F.row_number().over(last)).where("place > rest").select("sig", "id").distinct()
+    left = materialize(left, "shared")
+    discard(signed, several)
+    labels, spent = None, [left]
+    # Two hubs in turn meet those of other components; then classes still apart meet in blocks,
+    # first by a forest of likely links, and where one of those fails by all that the bits let pass.
+    for step in ("hub", "hub", "forest", "all"):
+        apart = _apart(left, labels)
+        if step == "hub":
+            likely = apart.where("c <> hub.c").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+        else:
+            likely = _likely(apart, bits, similarity, step == "forest")
         got = _checked(likely, bits, rows, width, similarity)
-        labels = _merged(labels, got.where("linked").select("a", "b"))
-        wrong = got.where("NOT linked").select("a", "b").union(likely.join(got, ["a", "b"], "left_anti"))
-        if wrong.isEmpty():
-            break  # every likely link holds, so whoever is still apart is apart
-        failed = materialize(wrong if failed is None else failed.union(wrong), "failed")
-        ends = wrong.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        again = apart.join(ends, "id", "left_semi").select("sig").distinct()
-        left = apart.select("sig", "id").join(again, "sig", "left_semi")
-    discard(shared)
+        links = got.where("linked").select("a", "b")
+        merged = materialize(components(links), "labels") if labels is None else _merged(labels, links)
+        if step == "hub":  # which has met all of its signature
+            left = apart.where("id <> hub.id").select("sig", "id")
+        elif step == "forest":
+            ends = got.where("NOT linked").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            left = apart.join(ends, "id", "left_semi").select("sig").distinct().join(apart.select("sig", "id"), "sig")
+        discard(*spent, *([] if labels is None else [labels]))
+        labels, spent = merged, [apart, got]
+    discard(*spent, bits)
     return Join(sets, labels)
 
 
+def _apart(left: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows (sig, id) of signatures with several components, with c, the component, the hub (id, c) and the number of rows."""
+    if labels is None:
+        named = left.withColumn("c", F.col("id"))
+    else:
+        label = labels.select(F.col("node").alias("id"), F.col("component").alias("c"))
+        named = materialize(left.join(label, "id", "left").select("sig", "id", F.coalesce("c", "id").alias("c")), "components")
+    groups = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("id", "c")).alias("hub"), F.count("*").alias("size"))
+    groups = materialize(groups.where("c0 <> c1").select("sig", "hub", "size"), "groups")
+    apart = materialize(named.join(groups, "sig"), "apart")
+    discard(groups, *([] if labels is None else [named]))
+    return apart
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels(node, component) after further links: components of the graph of components."""
     ends = links
@@ -219,26 +285,29 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def likely_links(ids: list[int], comps: list[int], sizes: list[int], bits: list[bytes], failed: set[tuple[int, int]], similarity: Fraction) -> list[tuple[int, int]]:
-    """Pairs that may be similar and would join components: a forest, the nearest in parity bits first, and some more.
+def likely_links(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bits: list[bytes], similarity: Fraction, forest: bool) -> Iterator[np.ndarray]:
+    """Index pairs that may be similar and would join components, the nearest in parity bits first.
 
-    Any other pair is out of reach of the similarity, has failed, or would be joined by the
-    forest's pairs if all of them hold.
+    Any other pair of two components is out of reach of the similarity. With forest, only a
+    spanning forest of the components and some pairs more.
     """
     p, q = similarity.numerator, similarity.denominator
     small = min(map(len, bits))
     b = np.stack([_fold(np.frombuffer(x, np.uint8), small) for x in bits]).view(np.uint64)
-    n, c = np.array(sizes), np.unique(np.array(comps), return_inverse=True)[1]
+    n, c = sizes, np.unique(comps, return_inverse=True)[1]
     found = []
     for k in range(len(ids) - 1):
         other = np.flatnonzero((c[k + 1 :] != c[k]) & (q * n[k + 1 :] >= p * n[k]) & (q * n[k] >= p * n[k + 1 :])) + k + 1
         if len(other):
             d = np.bitwise_count(b[other] ^ b[k]).sum(1, dtype=np.int64)
             near = (p + q) * d <= (q - p) * (n[other] + n[k])
-            found.append(np.stack([d[near], np.full(near.sum(), k), other[near]], 1))
+            found.append(np.stack([d[near], np.full(near.sum(), k), other[near]], 1).astype(np.int32))
     if not found:
-        return []
+        return
     pairs = np.concatenate(found)
+    if not forest:
+        yield pairs[:, 1:]
+        return
     root = list(range(int(c.max()) + 1))
 
     def find(x: int) -> int:
@@ -247,63 +316,69 @@ def likely_links(ids: list[int], comps: list[int], sizes: list[int], bits: list[
             x = root[x]
         return x
 
-    out, spare = [], 4 * len(ids)
-    for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
-        pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
-        if pair in failed:
-            continue
-        x, y = find(int(c[i])), find(int(c[j]))
-        if x != y:
-            root[x] = y
-        elif spare:  # some of the next ones as well, in case that one fails
-            spare -= 1
-        else:
-            continue
-        out.append(pair)
-    return out
-
-
-def _likely(apart: DataFrame, bits: DataFrame, failed: DataFrame | None, similarity: Fraction) -> DataFrame:
+    spare = len(ids)
+    order = np.argsort(pairs[:, 0], kind="stable")
+    for at in range(0, len(order), 1 << 16):
+        out = []
+        part = pairs[order[at : at + (1 << 16)], 1:]
+        for k, (i, j) in enumerate(part.tolist()):
+            x, y = find(int(c[i])), find(int(c[j]))
+            if x != y:
+                root[x] = y
+            elif spare:  # some of the next ones as well, in case that one fails
+                spare -= 1
+            else:
+                continue
+            out.append(k)
+        yield part[out]
+
+
+def _likely(apart: DataFrame, bits: DataFrame, similarity: Fraction, forest: bool) -> DataFrame:
     """(a, b): likely_links of each signature, by pairs of blocks of its classes."""
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-    rows = apart.select("sig", "id", "c", "part", other).select("sig", "id", "c", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j")).join(bits, "id")
-    if failed is None:
-        rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
-    else:
-        rows = rows.join(failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed")), "id", "left")
-    rows = rows.select("sig", "i", "j", "id", "c", "n", "bits", "failed").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = apart.select("sig", "id", "c", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
+    rows = rows.select("sig", "id", "c", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j")).join(bits, "id")
+    rows = rows.select("sig", "i", "j", "id", "c", "n", "bits").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
+
+    def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        ids, comps, sizes = (table.column(k).to_numpy() for k in (3, 4, 5))
+        if len(ids) < 2 or comps.min() == comps.max():
+            return
+        for at in likely_links(ids, comps, sizes, table.column(6).to_pylist(), similarity, forest):
+            ends = np.sort(ids[at], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, k]) for k in range(2)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
-
-        def close() -> None:
-            if len(held) > 1:
-                wrong = {(r[0], x) for r in held for x in r[4] or ()}
-                out.extend(likely_links(*[[r[k] for r in held] for k in range(4)], wrong, similarity))
-            held.clear()
-
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(8)]
-            for r in zip(*cols, strict=True):
-                if r[:3] != key:
-                    close()
-                    key = r[:3]
-                held.append(r[3:])
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
+                    continue
+                if (now := keys[x].tolist()) != key:
+                    if held:
+                        out.extend(pairs(held))
+                    key, held = now, []
+                held.append(batch.slice(x, y - x))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                out = []
+        if held:
+            yield from pairs(held)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def _checked(pairs: DataFrame, bits: DataFrame, rows: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """pairs(a, b) that pass the bounds on size and parity bits, with whether they are linked."""
+    """pairs(a, b) that pass the bounds on size and parity bits, with whether they are linked.
+
+    Partners of one a that one task wrote share a slice; a's text is sent once a slice, not once a pair.
+    """
     p, q = similarity.numerator, similarity.denominator
     x, y = bits.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), bits.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    near = pairs.join(x, "a").where(F.col("na") > 0).join(y, "b").where((F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p))
+    near = pairs.join(y, "b").join(x, "a").where((F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,11 +390,16 @@ def _checked(pairs: DataFrame, bits: DataFrame, rows: DataFrame, width: int, sim
             out = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
 
-    near = materialize(near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bounded, "a long, b long"), "pairs")
-    texts = rows.where(F.col("id").isNotNull())
-    both = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    got = both.sortWithinPartitions("a").select("a", "b", "tb", "ta").mapInArrow(_verify(width, similarity), "a long, b long, linked boolean")
-    return materialize(got, "checked")
+    near = near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bounded, "a long, b long")
+    near = materialize(near.withColumn("slice", F.spark_partition_id()), "pairs")
+    texts = rows.where("id IS NOT NULL")
+    hubs = near.select("a", "slice").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "text", "slice")
+    partners = near.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "text", "slice")
+    both = hubs.union(partners).repartition("a", "slice").sortWithinPartitions("a", "slice", F.asc_nulls_first("b")).select("a", "b", "text")
+    got = both.mapInArrow(_verify(width, similarity), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    got = materialize(got, "checked")
+    discard(near)
+    return got
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, similarity: float | Fraction = Fraction(9, 10)) -> DataFrame:

@@ -114,7 +114,7 @@ def test_similar_sets_share_a_signature(seed, n, similarity):
     b = np.sort(np.concatenate([a[drop:], pool[n : n + int(rng.integers(0, n // 4 + 1))]]))
     both = len(np.intersect1d(a, b))
     if Fraction(both, len(a) + len(b) - both) >= similarity and not np.array_equal(a, b):
-        assert set(partenum.signatures(a, similarity).tolist()) & set(partenum.signatures(b, similarity).tolist())
+        assert set(partenum.signatures(a, similarity)[0].tolist()) & set(partenum.signatures(b, similarity)[0].tolist())
 
 
 def test_components_of_paths_and_loops(spark):
