@@ -2,78 +2,105 @@
 
 Every document starts at rate 1. Under one constraint a source, that rate times size sums to the
 source's target, the rates nearest to 1 in relative entropy and at most max_repeat are
-min(max_repeat, exp(lambda * size / scale)). Newton steps on the convex dual find each source's
-lambda, over a table of (source, size, documents); rates are then rounded into whole copies.
+min(max_repeat, exp(lambda * x)), where x is the mean size of a document's size class over the
+source's scale. The convex dual separates by source: a source's Newton steps run in its own row,
+over its bounded number of size classes, so all sources are solved at once and side by side. Rates
+are then rounded into whole copies.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import materialize
+from .work import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Size classes have this many steps for each doubling; so a source has a bounded number of them.
 STEPS = 16
 #: Documents of a class that are ranked together.
-SLICE = 20_000
+SLICE = 1_000
+#: Newton steps, each inside the bracket found so far; a step out of it becomes a bisection.
+ROUNDS = 80
+TOLERANCE = 1e-7
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, max_repeat: int = 3, cycle: int = 3) -> DataFrame:
-    """(source, source_size, target) from (source, source_size), one row for each source.
-
-    Sources by code point, null last, weigh 1 to cycle, repeating. A source gets at most
-    max_repeat times its size; what that leaves is shared by weight among the others.
-    """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = sizes.withColumn("w", (F.pmod(F.row_number().over(order) - 1, F.lit(cycle)) + 1).cast("long")).withColumn("cap", F.col("source_size") * max_repeat)
-    ratio = (F.col("cap") / F.col("w")).alias("ratio")
-    by = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    upto, every = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    w = w.select("*", ratio).withColumn("before", F.coalesce(F.sum("cap").over(upto), F.lit(0))).withColumn("w_left", F.sum("w").over(every) - F.coalesce(F.sum("w").over(upto), F.lit(0))).withColumn("total", F.sum("source_size").over(every))
-    w = w.withColumn("level", (F.col("total") - F.col("before")) / F.col("w_left"))
-    w = w.withColumn("level", F.min_by(F.when(F.col("ratio") >= F.col("level"), F.col("level")), F.when(F.col("ratio") >= F.col("level"), F.col("ratio"))).over(every))
-    return w.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
-
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with place, from 0, in the order of key (by code point, null last): ranges are numbered side by side."""
+    ranged = df.repartitionByRange(F.col(key).asc_nulls_last()).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    # One row for each range: as many as there are partitions.
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_last()))
+    return ranged.withColumn("_at", inside).join(before, "_range").withColumn("place", F.col("_before") + F.col("_at") - 1).drop("_range", "_at", "_before")
 
-def _rate(lam: Column, size: Column, scale: Column, most: int) -> Column:
-    # A capped source has no finite lambda: null stands for it.
-    return F.when(lam.isNull(), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), lam * size / scale))))
 
+def targets(sizes: DataFrame, max_repeat: int = 3, cycle: int = 3) -> DataFrame:
+    """sizes(source, source_size, ...), one row for each source, with target.
 
-def solve_rates(hist: DataFrame, goals: DataFrame, max_repeat: int = 3, tolerance: float = 1e-7, rounds: int = 12, steps: int = 4) -> DataFrame:
-    """goals with scale and lam, from (source, size, n). Each round is one job of several Newton steps.
-
-    A step is taken on the logarithm of the tokens and kept inside the bracket found so far.
+    Sources by code point, null last, weigh 1 to cycle, repeating. A source gets at most
+    max_repeat times its size; what that leaves is shared by weight among the others, until none
+    is above.
     """
-    scale = hist.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
-    state = goals.alias("g").join(scale.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))).select("g.*", "s.scale")
-    full = F.col("target") >= max_repeat * F.col("source_size")
-    state = materialize(state.select("*", F.when(~full, F.lit(0.0)).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("off")), "lambda")
-    for _ in range(rounds):
-        for _ in range(steps):
-            rate = _rate(F.col("lam"), F.col("size"), F.col("scale"), max_repeat)
-            free = rate < max_repeat
-            got = hist.alias("h").join(state.where(F.col("lam").isNotNull()).alias("g"), F.col("h.source").eqNullSafe(F.col("g.source"))).groupBy("g.source").agg(F.sum(F.col("n") * F.col("size") * rate).alias("made"), F.sum(F.when(free, F.col("n") * F.col("size") * F.col("size") / F.col("scale") * rate).otherwise(0.0)).alias("slope"))
-            state = state.alias("g").join(got.alias("m"), F.col("g.source").eqNullSafe(F.col("m.source")), "left").select("g.*", "m.made", "m.slope")
-            over = F.col("made") > F.col("target")
-            state = state.withColumn("hi", F.when(over, F.col("lam")).otherwise(F.col("hi"))).withColumn("lo", F.when(over, F.col("lo")).otherwise(F.col("lam")))
-            newton = F.col("lam") + F.log(F.col("target") / F.col("made")) * F.col("made") / F.col("slope")
-            inside = (F.col("slope") > 0) & (F.col("lo").isNull() | (newton > F.col("lo"))) & (F.col("hi").isNull() | (newton < F.col("hi")))
-            half = F.when(F.col("lo").isNull(), F.col("hi") * 2 - 1).when(F.col("hi").isNull(), F.col("lo") * 2 + 1).otherwise((F.col("lo") + F.col("hi")) / 2)
-            off = F.abs(F.log(F.col("made") / F.col("target")))
-            state = state.withColumn("off", off).withColumn("lam", F.when(F.col("lam").isNull() | (off < tolerance), F.col("lam")).when(inside, newton).otherwise(half)).drop("made", "slope")
-        state = materialize(state, "lambda")
-        worst = state.agg(F.max("off")).first()[0]
-        if worst is None or worst < tolerance:
+    w = materialize(numbered(sizes, "source").withColumn("_w", (F.pmod("place", F.lit(cycle)) + 1).cast("long")).drop("place"), "weights")
+    cap = F.col("source_size") * max_repeat
+    level, full = None, F.lit(False)
+    while True:
+        left, weight = w.agg(F.sum("source_size") - F.coalesce(F.sum(F.when(full, cap)), F.lit(0)), F.sum(F.when(~full, F.col("_w")))).first()
+        now = left / weight if weight else None
+        if now is None or now == level:
             break
-    return state.select("source", "source_size", "target", "scale", "lam")
+        level = now
+        full = F.col("_w") * level > cap
+    target = cap.cast("double") if level is None else F.when(full, cap.cast("double")).otherwise(F.col("_w") * level)
+    return w.withColumn("target", target).drop("_w")
+
+
+def solved(sources: DataFrame, max_repeat: int = 3) -> DataFrame:
+    """sources(target, source_size, cells) with scale, lam (null: no finite one, all at max_repeat) and off, the relative error."""
+    most = F.lit(float(max_repeat))
+    mean = lambda c: c["tokens"] / c["n"]
+    zero = F.struct(F.lit(0.0).alias("made"), F.lit(0.0).alias("slope"))
+
+    def sums(lam: Column) -> Column:
+        def add(acc: Column, c: Column) -> Column:
+            x = mean(c) / F.col("scale")
+            rate = F.exp(F.least(F.lit(50.0), lam * x))
+            return F.struct((acc["made"] + c["tokens"] * F.least(most, rate)).alias("made"), (acc["slope"] + F.when(rate < most, c["tokens"] * x * rate).otherwise(0.0)).alias("slope"))
+
+        return F.aggregate("cells", zero, add)
+
+    def state(lam: Column, lo: Column, hi: Column, off: Column) -> Column:
+        return F.struct(lam.alias("lam"), lo.alias("lo"), hi.alias("hi"), off.alias("off"))
+
+    def moved(acc: Column, s: Column) -> Column:
+        over = s["made"] > F.col("target")
+        hi, lo = F.when(over, acc["lam"]).otherwise(acc["hi"]), F.when(over, acc["lo"]).otherwise(acc["lam"])
+        newton = acc["lam"] + F.log(F.col("target") / s["made"]) * s["made"] / s["slope"]
+        inside = (s["slope"] > 0) & (lo.isNull() | (newton > lo)) & (hi.isNull() | (newton < hi))
+        half = F.when(lo.isNull(), hi * 2 - 1).when(hi.isNull(), lo * 2 + 1).otherwise((lo + hi) / 2)
+        off = F.abs(F.log(s["made"] / F.col("target")))
+        return state(F.when(off < TOLERANCE, acc["lam"]).when(inside, newton).otherwise(half), lo, hi, off)
+
+    def step(acc: Column, _: Column) -> Column:
+        # The one-element array binds the sums, so they are computed once.
+        return F.when(acc["off"] < TOLERANCE, acc).otherwise(F.transform(F.array(sums(acc["lam"])), lambda s: moved(acc, s))[0])
+
+    none = F.lit(None).cast("double")
+    scaled = sources.withColumn("scale", F.try_divide(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["tokens"] * mean(c)), "source_size"))
+    solution = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(F.lit(0.0), none, none, F.lit(1.0)), step)
+    open_ = (F.col("source_size") > 0) & (F.col("target") < max_repeat * F.col("source_size"))
+    scaled = scaled.withColumn("s", F.when(open_, solution))
+    got = materialize(scaled.select("source", "source_size", "target", "cells", "scale", F.col("s.lam").alias("lam"), F.col("s.off").alias("off")), "lambda")
+    worst = got.agg(F.max("off")).first()[0]
+    if worst is not None and not worst < TOLERANCE:
+        raise ArithmeticError(f"Newton steps ended at a relative error of {worst}")
+    return got.drop("off")
 
 
 def mix_sources(sized: DataFrame, *, max_repeat: int = 3, cycle: int = 3) -> DataFrame:
@@ -84,39 +111,38 @@ def mix_sources(sized: DataFrame, *, max_repeat: int = 3, cycle: int = 3) -> Dat
     the source's words nearest to what its rates ask for; inside a class a hash of the id chooses.
     The same rows always get the same copies. A document without words gets 0 copies.
     """
-    hist = materialize(sized.where(F.col("size") > 0).groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat, cycle)
-    goals = materialize(goals, "targets")
-    solved = solve_rates(hist, goals.where(F.col("source_size") > 0), max_repeat)
-    kind = F.floor(F.log2(F.col("size").cast("double")) * STEPS).cast("int").alias("kind")
-    rate = _rate(F.col("lam"), F.col("size"), F.col("scale"), max_repeat)
-    base, part = F.floor(rate).cast("long").alias("base"), (rate - F.floor(rate)).alias("part")
-    rates = hist.alias("h").join(solved.alias("g"), F.col("h.source").eqNullSafe(F.col("g.source"))).select("h.source", "size", "n", kind, part, base)
-    cells = rates.where(F.col("part") > 0).groupBy("source", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("part") * F.col("size")).alias("want"), (F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
+    kind = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * STEPS).cast("int")).otherwise(-1)
+    docs = sized.select("id", "source", "size", kind.alias("kind"))
+    hist = docs.groupBy("source", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
     # At most STEPS classes for each doubling of the size: a bounded array for each source.
-    walk = cells.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("kind")).alias("order"), "n", "want", "mean"))).alias("cells"))
-
-    def step(acc: Column, c: Column) -> Column:
-        k = F.greatest(F.lit(0), F.least(c["n"], F.round((acc["left"] + c["want"]) / c["mean"]).cast("long")))
-        return F.struct((acc["left"] + c["want"] - k * c["mean"]).alias("left"), F.concat(acc["out"], F.array(F.struct((-c["order"]).alias("kind"), c["n"].alias("n"), k.alias("k")))).alias("out"))
-
-    zero = F.struct(F.lit(0.0).alias("left"), F.array().cast("array<struct<kind:int,n:bigint,k:bigint>>").alias("out"))
-    up = materialize(walk.select("source", F.explode(F.aggregate("cells", zero, step)["out"]).alias("c")).select("source", "c.kind", "c.n", "c.k", F.ceil(F.col("c.n") / SLICE).cast("int").alias("slices")), "classes")
-
-    docs = sized.alias("h").join(solved.select("source", "scale", "lam").alias("g"), F.col("h.source").eqNullSafe(F.col("g.source")), "left").select("h.id", "h.source", "size", "scale", "lam")
-    docs = docs.select("id", "source", "size", F.when(F.col("size") > 0, kind).alias("kind"), F.when(F.col("size") > 0, base).otherwise(0).alias("base"), F.when(F.col("size") > 0, part).otherwise(0.0).alias("part"))
-    docs = docs.alias("d").join(up.select("source", "kind", "k", "n", "slices").alias("u"), F.col("d.source").eqNullSafe(F.col("u.source")) & (F.col("d.kind") == F.col("u.kind")) & (F.col("d.part") > 0), "left")
-    docs = docs.select("d.id", "d.source", "size", "base", "d.kind", "k", "n", F.pmod(F.xxhash64("d.id", "size"), F.coalesce(F.col("slices"), F.lit(1))).alias("slice"))
-    share = docs.where(F.col("k").isNotNull()).groupBy("source", "kind", "slice").agg(F.count("*").alias("own"), F.first("k").alias("k"), F.first("n").alias("n"))
-    before = Window.partitionBy("source", "kind").orderBy("slice")
-    upto = F.sum("own").over(before)
+    cells = F.array_sort(F.collect_list(F.struct((-F.col("kind")).alias("order"), "n", "tokens")))
+    sources = hist.groupBy("source").agg(F.sum("tokens").alias("source_size"), cells.alias("cells"))
+    goals = solved(targets(sources, max_repeat, cycle), max_repeat)
+
+    def rounded(acc: Column, c: Column) -> Column:
+        mean = c["tokens"] / c["n"]
+        # A source at max_repeat has no finite lambda.
+        rate = F.when(c["order"] > 0, 0.0).when(F.col("lam").isNull(), float(max_repeat)).otherwise(F.least(F.lit(float(max_repeat)), F.exp(F.least(F.lit(50.0), F.col("lam") * mean / F.col("scale")))))
+        base = F.floor(rate)
+        want = acc["left"] + c["n"] * (rate - base) * mean
+        k = F.when(rate > base, F.greatest(F.lit(0), F.least(c["n"], F.round(want / mean).cast("long")))).otherwise(F.lit(0).cast("long"))
+        out = F.struct((-c["order"]).alias("kind"), c["n"].alias("n"), base.cast("long").alias("base"), k.alias("k"))
+        return F.struct((want - k * mean).alias("left"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    zero = F.struct(F.lit(0.0).alias("left"), F.array().cast("array<struct<kind:int,n:bigint,base:bigint,k:bigint>>").alias("out"))
+    classes = goals.select("source", "source_size", "target", F.explode(F.aggregate("cells", zero, rounded)["out"]).alias("c"))
+    classes = materialize(classes.select("source", "source_size", "target", "c.*", F.ceil(F.col("c.n") / SLICE).cast("int").alias("slices")), "classes")
+    d = docs.alias("d").join(classes.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.kind") == F.col("c.kind")))
+    d = d.select("d.id", "d.source", "size", "source_size", "target", "d.kind", "base", "k", "n", F.pmod(F.xxhash64("d.id", "size"), F.col("slices")).alias("slice"))
+    some = (F.col("k") > 0) & (F.col("k") < F.col("n"))  # else all of the class are rounded alike
+    share = d.where(some).groupBy("source", "kind", "slice", "k", "n").agg(F.count("*").alias("own"))
+    upto = F.sum("own").over(Window.partitionBy("source", "kind").orderBy("slice"))
     share = share.select("source", "kind", "slice", (F.floor(F.col("k") * upto / F.col("n")) - F.floor(F.col("k") * (upto - F.col("own")) / F.col("n"))).alias("up"))
     rank = F.row_number().over(Window.partitionBy("source", "kind", "slice").orderBy(F.xxhash64("id", "size", F.lit(7)), "id", "size"))
-    ranked = docs.where(F.col("k").isNotNull()).withColumn("rank", rank).alias("d").join(share.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.kind") == F.col("s.kind")) & (F.col("d.slice") == F.col("s.slice")))
-    ranked = ranked.select("d.id", "d.source", "size", (F.col("base") + (F.col("rank") <= F.col("up")).cast("long")).alias("copies"))
-    rest = docs.where(F.col("k").isNull()).select("id", "source", "size", F.col("base").alias("copies"))
-    out = ranked.unionByName(rest).alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
-    return out.select("d.id", "d.source", "d.size", "g.source_size", "g.target", "d.copies")
+    ranked = d.where(some).withColumn("rank", rank).alias("d").join(share.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.kind") == F.col("s.kind")) & (F.col("d.slice") == F.col("s.slice")))
+    ranked = ranked.select("d.id", "d.source", "size", "source_size", "target", (F.col("base") + (F.col("rank") <= F.col("up")).cast("long")).alias("copies"))
+    alike = d.where(~some).select("id", "source", "size", "source_size", "target", (F.col("base") + (F.col("k") > 0).cast("long")).alias("copies"))
+    return ranked.unionByName(alike)
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -135,12 +161,22 @@ def op1_mix(docs: DataFrame) -> DataFrame:
 def take_mix(docs: DataFrame) -> DataFrame:
     """Documents as often as the mix takes them, with the columns they have.
 
-    Rows alike in id, source and size share their copies evenly, rounded to the nearest number.
+    Null texts and texts without words are not taken; null sources form the last source. Where ids
+    repeat or are null, rows are numbered first, so that each row, repeated or not, has copies of its own.
     """
-    got = mix_sources(sized_documents(docs)).groupBy("id", "source", "size").agg(F.round(F.sum("copies") / F.count("*")).cast("int").alias("copies")).where(F.col("copies") > 0)
-    got = materialize(got, "copies").alias("m")
-    size = n_words(F.col("d.text"))
-    joined = docs.alias("d").join(got, F.col("d.doc_id").eqNullSafe(F.col("m.id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (size == F.col("m.size")))
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("m.copies"))).alias("_copy")).select([F.col(f"`{c}`") for c in docs.columns])
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        got = _copies(docs, "doc_id")
+        return _repeated(docs.join(got, "doc_id"), docs.columns)
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return _repeated(rows.join(_copies(rows, "_row"), "_row"), docs.columns)
+
+
+def _copies(docs: DataFrame, id_col: str) -> DataFrame:
+    sized = sized_documents(docs, id_col)
+    got = materialize(mix_sources(sized).where("copies > 0").select(F.col("id").alias(id_col), F.col("copies").alias("_copies")), "copies")
+    discard(sized)
+    return got
 
 
+def _repeated(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("_copy", F.explode(F.expr("sequence(1, cast(_copies AS int))"))).select([F.col(f"`{c}`") for c in columns])

@@ -180,6 +180,17 @@ def test_mix(spark):
         assert abs(taken[s] - target[s]) <= max(2, 0.01 * target[s]), (s, taken[s], target[s])
 
 
+def test_repeated_rows_mix_as_other_rows_do(spark):
+    rng = random.Random(5)
+    texts = [" ".join(["w"] * rng.choice([2, 9, 30])) for _ in range(400)]
+    single = [(i, t, "en", "ab"[i % 2]) for i, t in enumerate(texts)]
+    repeated = [(None if i % 3 else i // 20, t, lang, s) for i, t, lang, s in single]
+    words = lambda rows: sum(len(r.text.split()) for r in rows if r.source == "a")
+    want, got = (mixing.take_mix(table(spark, x)).collect() for x in (single, repeated))
+    assert abs(words(want) - words(got)) <= 30
+    assert mixing.take_mix(table(spark, [(1, None, "en", "a"), (2, "", "en", None), (3, "w w", "en", "b")])).count() <= 3
+
+
 def test_line_dedup(spark):
     rows = []
     for k in range(12):
