@@ -225,43 +225,72 @@ def test_scores(spark, odd_rows):
         assert r.score < 0
 
 
-def test_lattice_sums_over_all_segmentations():
-    lattice = lmscore.Lattice({})
-    lattice.piece = {"▁a": -1.0, "▁": -2.0, "a": -1.5, "ab": -0.5, "b": -3.0}
-    lattice.index()
-
-    def total(text):
-        return 1.0 if not text else sum(math.exp(s) * total(text[len(p) :]) for p, s in lattice.piece.items() if text.startswith(p))
-
-    for word in ("a", "ab", "abab", "bba"):
-        assert math.isclose(lattice.score(word), math.log(total("▁" + word)))
-
-
-def test_long_unseen_words_keep_their_score(spark):
-    seen = {"a": 1, "b": 1, "abc": 2}
-    texts = {2: "漢字" * 40, 3: "漢字" * 1500, 4: "aGk9/x" * 400, 5: "zq"}
+def segmentations(lattice, text):
+    """All lists of arcs (log weight, pieces) that spell the text."""
+    if not text:
+        return [[]]
+    out = []
+    for j in range(1, min(len(text), lattice.longest) + 1):
+        p = text[:j]
+        if p in lattice.piece:
+            arc = (lattice.weight[lattice.piece[p]], [lattice.piece[p]])
+        elif j == 1:
+            at = [lattice.byte[b] for b in p.encode()]
+            arc = (lattice.weight[at].sum(), at)
+        else:
+            continue
+        out += [[arc, *rest] for rest in segmentations(lattice, text[j:])]
+    return out
+
+
+@pytest.mark.parametrize("most_chars", [0, 64])
+def test_lattice_sums_over_all_segmentations(monkeypatch, most_chars):
+    monkeypatch.setattr(lmscore, "MOST_CHARS", most_chars)
+    lattice = lmscore.Lattice()
+    words_ = ["a", "the", "token", "xqzt", "naïve", "漢字", "\U0001f9ff", "aaaaaa", "don't"]
+    counts = np.arange(1, len(words_) + 1)
+    want, uses = [], np.zeros(len(lattice.weight))
+    for w, c in zip(words_, counts, strict=True):
+        ways = segmentations(lattice, "▁" + w)
+        p = np.array([math.exp(sum(s for s, _ in way)) for way in ways])
+        want.append(math.log(p.sum()))
+        for way, share in zip(ways, p / p.sum(), strict=True):
+            for _, at in way:
+                for i in at:
+                    uses[i] += c * share
+    assert np.allclose(lattice.scores(words_), want)
+    assert np.allclose(lattice.expected(words_, counts), uses)
+    assert np.allclose([lattice.score(w) for w in words_], want)
+
+
+def test_passes_raise_the_likelihood(spark):
+    counts = [("token", 9), ("tokens", 4), ("zqx", 2), ("pretoken" * 9, 1)]
+    weights = lmscore.fitted_weights(spark.createDataFrame(counts, "word string, c long"), 3)
+    likelihood = lambda lattice: float(lattice.scores([w for w, _ in counts]) @ [c for _, c in counts])
+    assert math.isclose(sum(map(math.exp, weights)), 1)
+    assert likelihood(lmscore.Lattice(weights)) > likelihood(lmscore.Lattice())
+
+
+def test_scores_are_marginals_without_a_floor(spark):
+    texts = {2: "漢字" * 40, 3: "漢字" * 1500, 4: "aGk9/x" * 834, 5: "zq abc", 6: ""}
     rows = [(1, False, "a b abc abc")] + [(k, True, t) for k, t in texts.items()]
     got = {r.id: r.score for r in lmscore.score_documents(spark.createDataFrame(rows, "id long, held boolean, text string")).collect()}
-    pieces = Counter()
-    for w, c in seen.items():
-        for i in lmscore._pieces().encode(w):
-            pieces[i] += c
-    lattice = lmscore.Lattice(pieces)
-    longest = max(map(len, lattice.piece))
+    weights = lmscore.fitted_weights(spark.createDataFrame([("a", 1), ("b", 1), ("abc", 2)], "word string, c long"), 1)
+    lattice = lmscore.Lattice(weights)
 
     def plain(word):
         text, out = "▁" + word, [0.0]
         for j in range(1, len(text) + 1):
-            arcs = [out[i] + lattice.piece[text[i:j]] for i in range(max(0, j - longest), j) if text[i:j] in lattice.piece]
+            arcs = [out[i] + weights[lattice.piece[text[i:j]]] for i in range(max(0, j - lattice.longest), j) if text[i:j] in lattice.piece]
             if text[j - 1] not in lattice.piece:
-                arcs.append(out[j - 1] + sum(lattice.byte[f"<0x{b:02X}>"] for b in text[j - 1].encode()))
-            out.append(np.logaddexp.reduce(arcs) if arcs else -math.inf)
+                arcs.append(out[j - 1] + sum(weights[lattice.byte[b]] for b in text[j - 1].encode()))
+            out.append(np.logaddexp.reduce(arcs))
         return out[-1]
 
-    n, v = 5, 4  # the end of the one training text counts as well
     for k, t in texts.items():
-        assert math.isclose(got[k], (math.log(v / (n + v)) + plain(lower(t)) + math.log(1 / (n + v))) / math.log(10), rel_tol=1e-9), k
-    assert got[3] < 30 * got[2] < -9000
+        want = (sum(plain(lower(w)) for w in t.split()) + weights[lattice.end]) / math.log(10)
+        assert math.isclose(got[k], want, rel_tol=1e-9), k
+    assert got[4] < -2000
 
 
 def test_fingerprints(spark, odd_rows, monkeypatch):
