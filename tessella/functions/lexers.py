@@ -89,74 +89,83 @@ def java_tokens(text: str) -> list[Token]:
     return out
 
 
-_SPACE = re.compile(r"[ \t]*")
-_EOL = re.compile(r"[\r\n]+")
 _PY = re.compile(
-    rf"(?P<skip>#[^\r\n]*|[ \t]+)|(?P<sign>{'|'.join(map(re.escape, PYTHON_SIGNS))})|(?P<word>{'|'.join(PYTHON_WORDS)})|(?P<loop>for|while)"
+    rf"(?P<skip>#[^\r\n]*|[ \t]+)|(?P<eol>[\r\n]+)|(?P<sign>{'|'.join(map(re.escape, PYTHON_SIGNS))})|(?P<word>{'|'.join(PYTHON_WORDS)})|(?P<loop>for|while)"
     rf"|(?P<string>'''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\"|'(?:[^'\\]|\\[\s\S])*'|\"(?:[^\"\\]|\\[\s\S])*\")|(?P<number>{NUMBER})|(?P<identifier>[^\W\d]\w*|_\w*)|(?P<decorator>@(?:[^\W\d]|_)\w*)"
 )
+_NO_TOKEN = ("skip", "eol", "joint")
 
 
-def _python_lines(text: str) -> list[list[tuple[int, str | None]]] | None:
-    """Logical lines as (length, kind or None); None where some text fits no rule. Leading tabs count four."""
-    levels, opened, at, out, end = [0], 0, 0, [], len(text)
-    while True:
-        before = list(levels)
-        lead = _SPACE.match(text, at)
-        at = lead.end()
-        n = len(lead[0].replace("\t", "    "))
-        margin: list[tuple[int, str | None]] = []
-        if n > levels[0]:
-            levels.insert(0, n)
-            margin.append((0, "indent"))
-        elif n < levels[0] and n in levels:
-            gone = levels.index(n)
-            levels = levels[gone:]
-            margin += [(0, "unindent")] * gone
-        margin.append((n, None))
-        body: list[tuple[int, str | None]] = []
-        while True:
-            part: list[tuple[int, str | None]] = []
-            while at < end and (m := _PY.match(text, at)):
-                kind = None if m.lastgroup == "skip" else m[0] if m.lastgroup in ("sign", "word") else m.lastgroup
-                part.append((len(m[0]), kind))
-                opened += (kind in ("(", "[", "{")) - (kind in (")", "]", "}"))
-                at = m.end()
-            more = bool(part) and (part[-1][1] == "\\" or opened > 0)
-            if part and part[-1][1] == "\\":
-                part[-1] = (1, None)
-            body += part
-            if not more:
-                break
-            if not (m := _EOL.match(text, at)):
-                return None
-            body.append((len(m[0]), None))
-            at = m.end()
-        if not any(kind for _, kind in body):
-            levels, margin = before, [x for x in margin if x[1] is None]
-        line = (margin if body else [x for x in margin if x[0]]) + body
-        if at < end:
-            if not (m := _EOL.match(text, at)):
-                return None
-            line.append((len(m[0]), None))
-            at = m.end()
-        out.append(line)
-        if at >= end:
-            return out
+def _python_pieces(text: str) -> list[Token] | None:
+    """The whole text as (kind, start, end), with blanks, comments and line ends; None where nothing fits.
 
+    A backslash before a line end is a joint.
+    """
+    out: list[Token] = []
+    at = 0
+    while at < len(text):
+        if not (m := _PY.match(text, at)):
+            return None
+        kind = m[0] if m.lastgroup in ("sign", "word") else m.lastgroup
+        if kind == "eol" and out and out[-1][0] == "\\":
+            out[-1] = ("joint", *out[-1][1:])
+        out.append((kind, at, m.end()))
+        at = m.end()
+    return out
 
-def python_tokens(text: str) -> list[Token] | None:
-    lines = _python_lines(text)
+
+def _logical_lines(pieces: list[Token]) -> list[list[Token]] | None:
+    """Pieces cut behind each line end that no joint or open bracket carries over; None if the text ends in one."""
+    lines: list[list[Token]] = [[]]
+    depth = 0
+    for piece in pieces:
+        lines[-1].append(piece)
+        kind = piece[0]
+        if kind in ("(", "[", "{"):
+            depth += 1
+        elif kind in (")", "]", "}"):
+            depth -= 1
+        elif kind == "eol" and depth <= 0 and "joint" not in (p[0] for p in lines[-1][-2:-1]):
+            lines.append([])
+    if len(lines) > 1 and not lines[-1]:
+        lines.pop()
+    elif lines[-1] and lines[-1][-1][0] != "eol" and (depth > 0 or lines[-1][-1][0] == "\\"):
+        return None
+    return lines
+
+
+def python_layout(text: str) -> list[tuple[int, int, list[Token]]] | None:
+    """(start, end, tokens) of each logical line, with indent and unindent; leading tabs count four everywhere."""
+    pieces = _python_pieces(text)
+    lines = None if pieces is None else _logical_lines(pieces)
     if lines is None:
         return None
-    out, at = [], 0
-    for size, kind in (x for line in lines for x in line):
-        if kind:
-            out.append((kind, at, at + size))
-        at += size
+    margins, shift, out = [0], 0, []
+    for line in lines:
+        if not line:
+            return [(0, 0, [])]
+        start, tokens = line[0][1], [p for p in line if p[0] not in _NO_TOKEN]
+        lead = text[start : line[0][2]]
+        width = 0 if lead.strip(" \t") else len(lead) + 3 * lead.count("\t")
+        marks: list[str] = []
+        if tokens and width > margins[-1]:
+            margins.append(width)
+            marks = ["indent"]
+        elif tokens and width in margins:
+            marks = ["unindent"] * (len(margins) - 1 - margins.index(width))
+            margins = margins[: len(margins) - len(marks)]
+        begin = start + shift
+        if width:
+            shift += width - len(lead)
+        out.append((begin, line[-1][2] + shift, [(m, begin, begin) for m in marks] + [(k, x + shift, y + shift) for k, x, y in tokens]))
     return out
 
 
+def python_tokens(text: str) -> list[Token] | None:
+    lines = python_layout(text)
+    return None if lines is None else [t for *_, tokens in lines for t in tokens]
+
+
 _HASKELL = re.compile(
     rf"(?P<skip>--[^\r\n]*|\{{-(?!#)[\s\S]*?(?:-\}}|$(?![\s\S]))|[ \t]+|\n)|(?P<bracket>[()\[\],])|(?P<pragma>\{{-#[\s\S]*?#-\}})|(?P<string>{STRING})|(?P<char>'(?:[^'\\]|\\.)+')|(?P<brace>[{{}}])"
     r"|(?P<operator>[:!#$%&*+./<=>?@\\^|~-]+)|(?P<name>(?:[^\W\d]|_)+[\w']*)|(?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
@@ -185,44 +194,30 @@ def haskell_tokens(text: str) -> list[Token] | None:
     return out if at else None
 
 
+#: A loop word, the token behind it, and all up to the brace that ends the loop's head.
+_LOOP_HEAD = re.compile(r"L.?[^{}]*[{}]?")
+_FIRST_STATEMENT, _STATEMENT = re.compile(r".[^;{}]*;"), re.compile(r"[^;{}]*;")
+
+
 def java_statements(text: str) -> list[tuple[int, int]]:
-    """Character ranges of statements: between two of ; { }, ending at a ; once loop heads are gone."""
-    tokens, kept, i, depth, dropping = java_tokens(text), [], 0, 0, False
-    while i < len(tokens):
-        kind = tokens[i][0]
-        if not dropping and kind == "loop":
-            dropping, depth, i = True, 0, i + 2
-            continue
-        if dropping:
-            if kind == "}":
-                dropping, depth = depth > 1, max(depth - 1, 0)
-            elif kind == "{":
-                dropping, depth = False, depth + 1
-        else:
-            kept.append(tokens[i])
-        i += 1
-    out: list[tuple[int, int]] = []
-    if not kept:
-        return out
-    stop, open_ = kept[-1][2], False
-    for i in range(len(kept) - 1, 0, -1):
-        if kept[i][0] in (";", "{", "}"):
-            if open_ and i + 1 < len(kept):
-                out.append((kept[i + 1][1], stop))
-            stop, open_ = kept[i][2], kept[i][0] == ";"
-    if open_:
-        out.append((kept[0][1], stop))
-    return out[::-1]
+    """Character ranges of statements: between two of ; { }, ending at a ; once loop heads are gone.
+
+    The tokens are written as one letter each, so that heads and statements are patterns of letters.
+    The first token never ends a statement.
+    """
+    tokens = java_tokens(text)
+    letters = "".join("L" if k == "loop" else k if k in (";", "{", "}") else "x" for k, *_ in tokens)
+    heads = {i for m in _LOOP_HEAD.finditer(letters) for i in range(*m.span())}
+    kept = [t for i, t in enumerate(tokens) if i not in heads]
+    letters = "".join(c for i, c in enumerate(letters) if i not in heads)
+    first = _FIRST_STATEMENT.match(letters)
+    spans = [m.span() for m in ([first] if first else [])] + [m.span() for m in _STATEMENT.finditer(letters, first.end() if first else 1)]
+    return [(kept[a][1], kept[b - 1][2]) for a, b in spans]
 
 
 def python_statements(text: str) -> list[tuple[int, int]]:
     """Logical lines whose next line isn't indented deeper; a single line is one."""
-    lines = _python_lines(text) or []
-    spans, at = [], 0
-    for line in lines:
-        size = sum(n for n, _ in line)
-        spans.append((at, at + size))
-        at += size
+    spans = [(a, b) for a, b, _ in python_layout(text) or []]
     if len(spans) < 2:
         return spans
     margin = [len(text[a:b]) - len(text[a:b].lstrip(" ")) for a, b in spans]
