@@ -10,17 +10,25 @@ from ..functions import ranges as R
 KEY = ["query_id", "frag_id"]
 
 
+#: Tokens of the query that share a cell.
+CELL = 32
+
+
 def remove_subsumed(matches: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Matches that no other of their group contains on both sides with as few edits; of equal ones, one.
 
-    A group's matches are compared inside one sorted array: a container starts no later on the
-    query side, so each is tried against those before it that still reach it.
+    A match meets only those of its group that reach the cell of the query where it starts, and of
+    these only such as may contain something: the group's shortest with the most edits do not.
     """
-    m = matches.dropDuplicates([*keys, "q_start", "q_end", "f_start", "f_end", "dist"]).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    alone, rest = m.where("_n = 1").drop("_n"), m.where("_n > 1").drop("_n")
-    held = rest.select(*keys, F.struct("q_start", "q_end", "f_start", "f_end", "dist").alias("b"))
-    cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("b.b.q_start") <= F.col("a.q_start"), F.col("a.q_end") <= F.col("b.b.q_end"), F.col("b.b.f_start") <= F.col("a.f_start"), F.col("a.f_end") <= F.col("b.b.f_end"), F.col("b.b.dist") <= F.col("a.dist"), F.col("b.b") != F.struct("a.q_start", "a.q_end", "a.f_start", "a.f_end", "a.dist")]
-    return alone.unionByName(rest.alias("a").join(held.alias("b"), cond, "left_anti"))
+    group = Window.partitionBy(*keys)
+    size = (F.col("q_end") - F.col("q_start")) + (F.col("f_end") - F.col("f_start"))
+    m = matches.dropDuplicates([*keys, "q_start", "q_end", "f_start", "f_end", "dist"])
+    m = m.withColumn("_cell", F.floor(F.col("q_start") / CELL))
+    sized = m.withColumn("_least", F.min(size).over(group)).withColumn("_most", F.max("dist").over(group))
+    held = sized.where((size > F.col("_least")) | (F.col("dist") < F.col("_most")))
+    held = held.select(*keys, F.struct("q_start", "q_end", "f_start", "f_end", "dist").alias("b"), F.explode(F.sequence(F.col("_cell"), F.floor(F.col("q_end") / CELL))).alias("_cell"))
+    cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "_cell")] + [F.col("b.b.q_start") <= F.col("a.q_start"), F.col("a.q_end") <= F.col("b.b.q_end"), F.col("b.b.f_start") <= F.col("a.f_start"), F.col("a.f_end") <= F.col("b.b.f_end"), F.col("b.b.dist") <= F.col("a.dist"), F.col("b.b") != F.struct("a.q_start", "a.q_end", "a.f_start", "a.f_end", "a.dist")]
+    return m.alias("a").join(held.alias("b"), cond, "left_anti").drop("_cell")
 
 
 def with_sum_length(matches: DataFrame, keys: list[str] = KEY) -> DataFrame:

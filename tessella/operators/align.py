@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Grams of at most so many rows, 32 bytes each, are broadcast.
+BROADCAST_GRAMS = 1_000_000
+
+
 def ngram_starts(n: Column, k: int, stride: int = 1) -> Column:
     """Start positions, from 0, of the full n-grams; empty if there is none."""
     return F.when((n >= k) & F.lit(k > 0), F.sequence(F.lit(0), n - k, F.lit(stride))).otherwise(F.array().cast("array<int>"))
@@ -24,8 +28,11 @@ def ngrams(tokens: Column, k: int, stride: int = 1) -> Column:
 
 
 def shingles(df: DataFrame, id_col: str, k: int, tokens: str = "tokens") -> DataFrame:
-    """The index of a table: (id, pos, h1, h2), one row for each start of a k-gram."""
-    key = F.transform(ngram_starts(F.size(tokens), k), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(tokens, i + 1, F.lit(k))).alias("h1"), F.xxhash64(F.slice(tokens, i + 1, F.lit(k)), F.lit(1)).alias("h2")))
+    """The index of a table: (id, pos, h1, h2), one row for each start of a k-gram.
+
+    h2 starts from another seed: behind the gram, a seed would be folded onto h1 and add no bit.
+    """
+    key = F.transform(ngram_starts(F.size(tokens), k), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(tokens, i + 1, F.lit(k))).alias("h1"), F.xxhash64(F.lit(1), F.slice(tokens, i + 1, F.lit(k))).alias("h2")))
     return df.select(F.col(id_col).alias("id"), F.explode(key).alias("x")).select("id", "x.pos", "x.h1", "x.h2")
 
 
@@ -56,14 +63,24 @@ def suppress_repeats(grams: DataFrame, key: str = "id", gap: int = 2, chain: int
     return marked.where((F.col("_n") <= chain + 1) | (F.col("pos") == F.col("_last"))).select(key, "pos", "h1", "h2")
 
 
-def exact_matches(queries: DataFrame, fragments: DataFrame, k: int, *, q_id: str = "query_id", f_id: str = "frag_id", skip_self: bool = False) -> DataFrame:
+def few_grams(df: DataFrame, k: int, most: int = BROADCAST_GRAMS) -> bool:
+    """Whether the k-grams of a table are at most so many, by the sizes of its token arrays."""
+    n = df.agg(F.sum(F.greatest(F.size("tokens") - (k - 1), F.lit(0)).cast("long"))).first()[0]
+    return (n or 0) <= most
+
+
+def exact_matches(queries: DataFrame, fragments: DataFrame, k: int, *, q_id: str = "query_id", f_id: str = "frag_id", skip_self: bool = False, no_repeats: bool = False) -> DataFrame:
     """(query_id, frag_id, q_start, q_end, f_start, f_end, dist): every maximal run of k or more equal tokens.
 
-    queries and fragments hold an id and an array column tokens; shorter arrays and nulls match nothing.
+    queries and fragments hold an id and an array column tokens; shorter arrays and nulls match
+    nothing. The grams of fragments go to every task only if they are counted and few; then those of
+    queries are never shuffled, only their hits. no_repeats leaves out the grams that
+    suppress_repeats takes from each query, so a repeated passage does not meet itself many times.
     """
-    q = shingles(queries, q_id, k).select(F.col("id").alias("query_id"), F.col("pos").alias("q"), "h1", "h2")
+    grams = shingles(queries, q_id, k)
+    q = (suppress_repeats(grams) if no_repeats else grams).select(F.col("id").alias("query_id"), F.col("pos").alias("q"), "h1", "h2")
     f = shingles(fragments, f_id, k).select(F.col("id").alias("frag_id"), F.col("pos").alias("f"), "h1", "h2")
-    hits = q.join(f, ["h1", "h2"])
+    hits = q.join(F.broadcast(f) if few_grams(fragments, k) else f, ["h1", "h2"])
     if skip_self:
         hits = hits.where("query_id <> frag_id")
     hits = hits.select("query_id", "frag_id", "q", (F.col("q") - F.col("f")).alias("diag"))

@@ -90,6 +90,13 @@ def graph_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return e
 
 
+def connected(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs(a, b) with connected: whether an edge links the two, in either direction."""
+    ends = [F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")]
+    e = edges.select(*ends).distinct().withColumn("_e", F.lit(True))
+    return pairs.select("*", *ends).join(e, ["_x", "_y"], "left").withColumn("connected", F.coalesce("_e", F.lit(False))).drop("_x", "_y", "_e")
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(node, neighbour) in both directions."""
     return edges.select(F.col("a").alias("node"), F.col("b").alias("neighbour")).union(edges.select("b", "a")).where("node <> neighbour").distinct()

@@ -179,10 +179,19 @@ def search_blocks(t: Tables) -> DataFrame:
     return search(q, f, LOW)
 
 
-@query("search_semantic")
+SEMANTIC = f"""{search_sql(LOW.min_match, LOW.min_sum, LOW.coverage)},
+n AS (SELECT count(*) AS n FROM f), df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT frag_id, unnest(t) AS word FROM f) GROUP BY word),
+qw AS (SELECT query_id, frag_id, word, count(*) AS a FROM (SELECT found.query_id, found.frag_id, unnest(q.t[q_start+1:q_end]) AS word FROM found JOIN q ON q.query_id = found.query_id) GROUP BY ALL),
+fw AS (SELECT query_id, frag_id, word, count(*) AS b FROM (SELECT found.query_id, found.frag_id, unnest(f.t[f_start+1:f_end]) AS word FROM found JOIN f ON f.frag_id = found.frag_id) GROUP BY ALL),
+both_ AS (SELECT coalesce(qw.query_id, fw.query_id) AS query_id, coalesce(qw.frag_id, fw.frag_id) AS frag_id, coalesce(qw.word, fw.word) AS word, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM qw FULL JOIN fw ON qw.query_id = fw.query_id AND qw.frag_id = fw.frag_id AND qw.word = fw.word),
+wt AS (SELECT query_id, frag_id, a * ln((1 + n) / (1 + coalesce(df, 0))) AS a, b * ln((1 + n) / (1 + coalesce(df, 0))) AS b FROM both_ LEFT JOIN df ON df.word = both_.word, n),
+sim AS (SELECT query_id, frag_id, CASE WHEN sum(a * a) > 0 AND sum(b * b) > 0 THEN sum(a * b) / sqrt(sum(a * a) * sum(b * b)) ELSE 0 END AS sim FROM wt GROUP BY ALL)"""
+
+
+@query("search_semantic", f"{SEMANTIC} SELECT {', '.join('found.' + c for c in COLS.split(', '))}, coverage, round(sim, 8) AS sim FROM found JOIN sim ON sim.query_id = found.query_id AND sim.frag_id = found.frag_id WHERE sim >= 0.4")
 def search_semantic(t: Tables) -> DataFrame:
     q, f = _prepared(t)
-    return search(q, f, with_overrides(LOW, blocks=False, semantic=0.4))
+    return search(q, f, with_overrides(LOW, blocks=False, semantic=0.4)).drop("group_id").withColumn("sim", F.round("sim", 8))
 
 
 @query("sem06_document_frequency", f"SELECT word, sum(n)::BIGINT AS tf, count(*)::BIGINT AS df FROM (SELECT item_id, word, count(*) AS n FROM (SELECT item_id, unnest({WORDS}) AS word FROM benchmark) GROUP BY ALL) GROUP BY word")

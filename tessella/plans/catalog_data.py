@@ -77,10 +77,10 @@ def substrings(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", R.substring_of(F.col("text"), F.lit(5), F.lit(15)).alias("one"), F.array_join(R.substrings_of(F.col("text"), pair), "|").alias("many"))
 
 
-@query("rng10_numbered_lines", "SELECT doc_id, i AS line, CASE WHEN i = 1 THEN repeat('.', 3) || s[i] ELSE s[i] END AS text FROM (SELECT doc_id, string_split(substring(text, 4, 197), chr(10)) AS s FROM documents WHERE length(text) >= 200 AND NOT contains(substring(text, 1, 3), chr(10))), unnest(range(1, len(s) + 1)) AS u(i)")
+@query("rng10_numbered_lines", "SELECT doc_id, i AS line, s[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL), unnest(range(1, len(s) + 1)) AS u(i)")
 def numbered_lines(t: Tables) -> DataFrame:
-    rows = t.documents.where((F.length("text") >= 200) & ~F.contains(F.substring("text", 1, 3), F.lit("\n")))
-    return rows.select("doc_id", F.explode(R.numbered_lines(F.col("text"), F.lit(3), F.lit(200))).alias("x")).select("doc_id", "x.line", "x.text")
+    rows = t.documents.where(F.col("text").isNotNull())
+    return rows.select("doc_id", F.explode(R.numbered_lines(F.col("text"), F.lit(0), F.length("text"))).alias("x")).select("doc_id", "x.line", "x.text")
 
 
 @query("rng12_slice", "SELECT item_id, CASE WHEN len(t) >= 12 THEN array_to_string(t[3:12], ' ') END AS part FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark)")
@@ -107,7 +107,7 @@ def html_nodes(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.posexplode(H.node_texts(F.col("html"), "p")).alias("ord", "text"))
 
 
-@query("fn02_03_identifiers")
+@query("fn02_03_identifiers", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), '') AS name, lower(p_name) AS words FROM part")
 def identifiers(t: Tables) -> DataFrame:
     names = t.part.select("p_partkey", F.regexp_replace(F.initcap("p_name"), " ", "").alias("name"))
     return names.select("p_partkey", "name", F.array_join(T.identifier_words(F.col("name")), " ").alias("words"))
@@ -221,19 +221,28 @@ def relations_of_blocks(t: Tables) -> DataFrame:
     return rows.select("page_id", r["up"].alias("up"), r["down"].alias("down"))
 
 
-@query("blk04_delimiters", "SELECT page_id, array_to_string(list_transform(t, lambda x: CASE WHEN x = '<p>' THEN '+' ELSE '-' END), '') AS s FROM (SELECT page_id, regexp_extract_all(html, '</?p>')[1:20] AS t FROM pages)")
+@query("blk04_delimiters", "SELECT page_id, array_to_string(list_transform(t, lambda x: CASE WHEN x = '<p>' THEN '+' ELSE '-' END), '') AS s FROM (SELECT page_id, regexp_extract_all(html, '</?p>') AS t FROM pages)")
 def delimiter_strings(t: Tables) -> DataFrame:
     kinds = F.regexp_extract_all("html", F.lit("</?p>"), F.lit(0))
-    return t.pages.select("page_id", blocks.delimiter_string(kinds, F.lit(0), F.lit(20), "<p>", "</p>").alias("s"))
+    return t.pages.select("page_id", blocks.delimiter_string(kinds, F.lit(0), F.size(kinds), "<p>", "</p>").alias("s"))
 
 
-# Orders link their customer (x) and a line's supplier (y); nations are the nodes of a smaller graph.
-EDGES = "e AS (SELECT DISTINCT least(c_nationkey, s_nationkey)::BIGINT AS a, greatest(c_nationkey, s_nationkey)::BIGINT AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey AND l_quantity >= 50 AND c_acctbal > 9000)"
+# The words of a part's name and type, numbered by their order, are nodes; those of one part are linked.
+PART_WORDS = "w AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS word FROM part), d AS (SELECT word, row_number() OVER (ORDER BY word) AS node FROM (SELECT DISTINCT word FROM w)), v AS (SELECT p_partkey, node FROM w JOIN d ON d.word = w.word)"
+EDGES = f"{PART_WORDS}, e AS (SELECT DISTINCT x.node AS a, y.node AS b FROM v x JOIN v y ON x.p_partkey = y.p_partkey AND x.node < y.node)"
+
+
+def _part_words(t: Tables) -> DataFrame:
+    words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))
+    w = t.part.select("p_partkey", F.explode(words).alias("word"))
+    # The vocabulary of the names: a few words, whatever the number of parts.
+    d = w.select("word").distinct().withColumn("node", F.row_number().over(Window.orderBy("word")).cast("long"))
+    return w.join(d, "word").select("p_partkey", "node")
 
 
 def _edges(t: Tables) -> DataFrame:
-    j = t.lineitem.where("l_quantity >= 50").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer.where("c_acctbal > 9000"), F.col("c_custkey") == F.col("o_custkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
-    return blocks.graph_edges(j.select(F.col("c_nationkey").cast("long").alias("a"), F.col("s_nationkey").cast("long").alias("b")))
+    v = _part_words(t)
+    return blocks.graph_edges(v.select("p_partkey", F.col("node").alias("a")).join(v.select("p_partkey", F.col("node").alias("b")), "p_partkey").select("a", "b"))
 
 
 @query("grf01_edges", f"WITH {EDGES} SELECT a, b FROM e")
@@ -241,16 +250,26 @@ def graph(t: Tables) -> DataFrame:
     return _edges(t)
 
 
+@query("grf02_connected", f"WITH {EDGES} SELECT x.node AS a, y.node AS b, EXISTS (SELECT 1 FROM e WHERE (e.a = x.node AND e.b = y.node) OR (e.a = y.node AND e.b = x.node)) AS connected FROM d x JOIN d y ON y.node = x.node + 1")
+def connected(t: Tables) -> DataFrame:
+    nodes = _part_words(t).select("node").distinct()
+    pairs = nodes.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(nodes.withColumnRenamed("node", "b"), "b", "left_semi")
+    return blocks.connected(pairs, _edges(t))
+
+
 @query("grf03_neighbours", f"WITH {EDGES} SELECT a AS node, b AS neighbour FROM e UNION SELECT b, a FROM e")
 def neighbours(t: Tables) -> DataFrame:
     return blocks.neighbours(_edges(t))
 
 
-@query("grf04_cliques")
+@query("grf04_cliques", f"""WITH RECURSIVE {EDGES}, near AS (SELECT node, list(other) AS near FROM (SELECT a AS node, b AS other FROM e UNION SELECT b, a FROM e) GROUP BY node),
+k AS (SELECT [node] AS c, node AS last FROM near UNION ALL SELECT list_append(c, n.node), n.node FROM k JOIN near n ON n.node > k.last AND list_has_all(n.near, k.c))
+SELECT array_to_string(c, ' ') AS members, len(c)::BIGINT AS size FROM k WHERE NOT EXISTS (SELECT 1 FROM near n WHERE list_has_all(n.near, k.c))""")
 def cliques(t: Tables) -> DataFrame:
     edges = _edges(t).select(F.lit(0).alias("query_id"), F.lit(0).alias("frag_id"), "a", "b")
-    nodes = t.nation.select(F.lit(0).alias("query_id"), F.lit(0).alias("frag_id"), F.col("n_nationkey").cast("long").alias("n"))
-    return blocks.clique_groups(nodes, edges).select("group_id", "n")
+    nodes = _part_words(t).select(F.lit(0).alias("query_id"), F.lit(0).alias("frag_id"), F.col("node").alias("n")).distinct()
+    groups = blocks.clique_groups(nodes, edges).groupBy("group_id").agg(F.array_sort(F.collect_list("n")).alias("c"))
+    return groups.select(F.array_join("c", " ").alias("members"), F.size("c").alias("size"))
 
 
 @query("blk08_accordant_pairs", """WITH m AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity) - 1 AS n, l_linenumber::BIGINT AS qa, (l_linenumber + l_quantity % 3)::BIGINT AS qb, l_suppkey AS fa, l_suppkey + (l_quantity % 3)::BIGINT AS fb FROM lineitem)
@@ -264,15 +283,15 @@ def accordant(t: Tables) -> DataFrame:
 
 # --- statistics: parts are fragments, their type's words tags; lines are results, suppliers files
 
-TAGS = "tags AS (SELECT p_partkey AS frag_id, list_distinct(string_split(lower(p_type), ' ')) AS tags FROM part), n AS (SELECT l_partkey AS frag_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey), smp AS (SELECT tag, sum(n)::BIGINT AS n FROM (SELECT unnest(tags) AS tag, n FROM n JOIN tags ON tags.frag_id = n.frag_id) GROUP BY tag), pop AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM tags) GROUP BY tag)"
+TAGS = "tags AS (SELECT p_partkey AS frag_id, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS tags FROM part), n AS (SELECT l_partkey AS frag_id, count(*) AS n FROM lineitem GROUP BY l_partkey), smp AS (SELECT tag, sum(n)::BIGINT AS n FROM (SELECT unnest(tags) AS tag, n FROM n JOIN tags ON tags.frag_id = n.frag_id) GROUP BY tag), pop AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM tags) GROUP BY tag)"
 
 
 def _tags(t: Tables) -> DataFrame:
-    return t.part.select(F.col("p_partkey").alias("frag_id"), F.array_distinct(F.split(F.lower("p_type"), " ")).alias("tags"))
+    return t.part.select(F.col("p_partkey").alias("frag_id"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("tags"))
 
 
 def _sample(t: Tables) -> DataFrame:
-    return analytics.sample_tag_counts(analytics.source_counts(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("frag_id"))), _tags(t))
+    return analytics.sample_tag_counts(analytics.source_counts(t.lineitem.select(F.col("l_partkey").alias("frag_id"))), _tags(t))
 
 
 def _population(t: Tables) -> DataFrame:
@@ -284,9 +303,9 @@ def source_counts(t: Tables) -> DataFrame:
     return analytics.source_counts(t.lineitem.select(F.col("l_partkey").alias("frag_id")))
 
 
-@query("agg12_tag_counts", f"WITH {TAGS} SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(tags) AS tag FROM tags WHERE list_contains(tags, 'steel')) GROUP BY tag HAVING count(*) > 5")
+@query("agg12_tag_counts", f"WITH {TAGS} SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(tags) AS tag FROM tags WHERE list_contains(tags, 'small')) GROUP BY tag HAVING count(*) > 5")
 def tag_counts(t: Tables) -> DataFrame:
-    return analytics.tag_counts(_tags(t), "steel", 5)
+    return analytics.tag_counts(_tags(t), "small", 5)
 
 
 @query("agg13_sample_tags", f"WITH {TAGS} SELECT tag, n FROM smp")
@@ -304,28 +323,36 @@ def representation(t: Tables) -> DataFrame:
     return analytics.relative_representation(_sample(t), _population(t))
 
 
-@query("agg16_normal_score")
+# erf of z as a sum of positive terms, all of them exponentials of logarithms.
+ERF = "(CASE WHEN {z} = 0 THEN 0 ELSE sign({z}) * list_sum(list_transform(range(0, 150), lambda i: exp((2 * i + 1) * ln(least(abs({z}), 6.5)) - lgamma(i + 1.5) - least(abs({z}), 6.5) ** 2))) END)"
+NORMAL = f"""{TAGS}, pf AS (SELECT tag, n / max(n) OVER () AS p FROM pop), sm AS (SELECT tag, n, max(n) OVER () AS total FROM smp),
+zs AS (SELECT sm.tag, p, (n - total * p) / CASE WHEN total * p * (1 - p) > 0 THEN total * p * (1 - p) END / sqrt(2) AS z FROM sm JOIN pf ON pf.tag = sm.tag WHERE n > 20),
+ns AS (SELECT tag, CASE WHEN p >= 1 THEN 1 ELSE 0.5 * (1 + {ERF.format(z='z')}) END AS score FROM zs)"""
+
+
+@query("agg16_normal_score", f"WITH {NORMAL} SELECT tag, round(score, 8) AS score FROM ns")
 def normal_score(t: Tables) -> DataFrame:
-    return analytics.normal_score(_sample(t), _population(t))
+    return analytics.normal_score(_sample(t), _population(t)).select("tag", F.round("score", 8).alias("score"))
 
 
 @query("agg17_chi_square", f"""WITH {TAGS}, a AS (SELECT tag, n::DOUBLE AS a, (max(n) OVER ())::DOUBLE AS sn FROM smp), b AS (SELECT tag, n::DOUBLE AS c, (max(n) OVER ())::DOUBLE AS pn FROM pop),
-j AS (SELECT a.tag, a, sn - a AS b, c, pn - c AS d FROM a JOIN b ON a.tag = b.tag)
-SELECT tag, round(CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d)) ELSE 0 END, 6) AS statistic FROM j""")
+j AS (SELECT a.tag, a, sn - a AS b, c, pn - c AS d, a * pn >= c * sn AS up FROM a JOIN b ON a.tag = b.tag),
+x AS (SELECT tag, up, CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d)) ELSE 0 END AS x FROM j)
+SELECT tag, round(x, 6) AS statistic, round(0.5 + CASE WHEN up THEN 0.5 ELSE -0.5 END * {ERF.format(z='sqrt(x / 2)')}, 8) AS score FROM x""")
 def chi_square(t: Tables) -> DataFrame:
-    return analytics.chi_square_score(_sample(t), _population(t)).select("tag", F.round("statistic", 6).alias("statistic"))
+    return analytics.chi_square_score(_sample(t), _population(t)).select("tag", F.round("statistic", 6).alias("statistic"), F.round("score", 8).alias("score"))
 
 
-@query("agg18_combined_score")
+@query("agg18_combined_score", f"WITH {NORMAL} SELECT ns.tag, round(score + 0.002 * n / total, 8) AS score FROM ns JOIN sm ON sm.tag = ns.tag")
 def combined(t: Tables) -> DataFrame:
-    return analytics.combined_score(_sample(t), _population(t))
+    return analytics.combined_score(_sample(t), _population(t)).select("tag", F.round("score", 8).alias("score"))
 
 
-FILES = "m AS (SELECT l_suppkey AS path, (l_partkey % 400)::BIGINT AS a, (l_partkey % 400 + l_quantity)::BIGINT AS b FROM lineitem WHERE l_quantity >= 45), o AS (SELECT *, max(b) OVER (PARTITION BY path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isl FROM o), h AS (SELECT path, isl, max(b) - min(a) AS n FROM i GROUP BY ALL), f AS (SELECT s_suppkey AS path, coalesce((SELECT sum(n) FROM h WHERE h.path = s_suppkey), 0) / (1000 + s_suppkey) AS coverage, 1000 + s_suppkey AS length FROM supplier)"
+FILES = "m AS (SELECT l_suppkey AS path, (l_partkey % 400)::BIGINT AS a, (l_partkey % 400 + l_quantity)::BIGINT AS b FROM lineitem), o AS (SELECT *, max(b) OVER (PARTITION BY path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isl FROM o), h AS (SELECT path, isl, max(b) - min(a) AS n FROM i GROUP BY ALL), f AS (SELECT s_suppkey AS path, coalesce((SELECT sum(n) FROM h WHERE h.path = s_suppkey), 0) / (1000 + s_suppkey) AS coverage, 1000 + s_suppkey AS length FROM supplier)"
 
 
 def _files(t: Tables) -> DataFrame:
-    m = t.lineitem.where("l_quantity >= 45").select(F.col("l_suppkey").alias("path"), (F.col("l_partkey") % 400).alias("q_txt_start"), (F.col("l_partkey") % 400 + F.col("l_quantity")).cast("long").alias("q_txt_end"))
+    m = t.lineitem.select(F.col("l_suppkey").alias("path"), (F.col("l_partkey") % 400).alias("q_txt_start"), (F.col("l_partkey") % 400 + F.col("l_quantity")).cast("long").alias("q_txt_end"))
     return analytics.file_coverage(m, t.supplier.select(F.col("s_suppkey").alias("path"), (F.col("s_suppkey") + 1000).alias("length")))
 
 
@@ -339,11 +366,13 @@ def mean_coverage(t: Tables) -> DataFrame:
     return analytics.weighted_mean_coverage(_files(t)).select(F.round("mean_coverage", 9).alias("mean_coverage"))
 
 
-@query("agg10_verbatim", "SELECT a.lang AS path, sum(CASE WHEN list_filter(string_split_regex(a.text, '\\s+'), lambda w: w <> '') = list_filter(string_split_regex(b.text, '\\s+'), lambda w: w <> '') THEN 1 ELSE 0 END)::BIGINT AS copies FROM documents a JOIN documents b ON b.n_chars = a.n_chars AND b.doc_id > a.doc_id AND a.source <> b.source GROUP BY a.lang")
+@query("agg10_verbatim", r"WITH k AS (SELECT doc_id, lang, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), ' ') AS k FROM documents WHERE text IS NOT NULL), m AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k) SELECT lang AS path, count(*)::BIGINT AS copies FROM k JOIN m ON m.k = k.k WHERE doc_id <> least GROUP BY lang")
 def verbatim(t: Tables) -> DataFrame:
-    a = t.documents.select("doc_id", "source", "n_chars", F.col("text").alias("query_text"), F.col("lang").alias("path"))
-    b = t.documents.select(F.col("doc_id").alias("b_id"), F.col("source").alias("b_source"), "n_chars", F.col("text").alias("pattern_text"))
-    pairs = a.join(b, "n_chars").where("b_id > doc_id AND source <> b_source").withColumn("result", F.struct("doc_id", "b_id"))
+    key = F.array_join(F.filter(F.split("text", r"\s+"), lambda w: w != ""), " ")
+    a = t.documents.where(F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("path"), F.col("text").alias("query_text"), F.xxhash64(key).alias("k"))
+    # Copies meet the least of them, not each other.
+    least = a.groupBy("k").agg(F.min(F.struct("doc_id", "query_text")).alias("m")).select("k", F.col("m.doc_id").alias("b_id"), F.col("m.query_text").alias("pattern_text"))
+    pairs = a.join(least, "k").where("b_id <> doc_id").withColumn("result", F.struct("doc_id", "b_id"))
     return analytics.verbatim_counts(pairs)
 
 

@@ -35,13 +35,14 @@ def refine(matches: DataFrame, fragments: DataFrame, settings: SearchSettings, k
     return A.min_coverage(A.min_sum_length(matches, settings.min_sum, keys), fragments, settings.coverage, keys)
 
 
-def search(queries: DataFrame, fragments: DataFrame, settings: SearchSettings, *, language: str = "words", corpus: DataFrame | None = None, skip_self: bool = False, analyzer=semantic.cosine) -> DataFrame:
+def search(queries: DataFrame, fragments: DataFrame, settings: SearchSettings, *, language: str = "words", corpus: DataFrame | None = None, skip_self: bool = False, no_repeats: bool = False, analyzer=semantic.cosine) -> DataFrame:
     """Matches of prepared queries and fragments that pass the settings, with group_id and coverage.
 
     One row for each match; a fragment has several groups if its matches disagree in block
-    structure. corpus (an array column words) weighs the words; the fragments by default.
+    structure. corpus (an array column words) weighs the words; the fragments by default. no_repeats keeps
+    repeated passages of a query from meeting a fragment once each.
     """
-    found = align.fuzzy_matches(queries, fragments, settings.min_match, settings.distance) if settings.distance else align.exact_matches(queries, fragments, settings.min_match, skip_self=skip_self)
+    found = align.fuzzy_matches(queries, fragments, settings.min_match, settings.distance) if settings.distance else align.exact_matches(queries, fragments, settings.min_match, skip_self=skip_self, no_repeats=no_repeats)
     if skip_self:
         found = found.where("query_id <> frag_id")
     # Length and coverage before subsumption are implied by those after it.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import catalog, catalog_align, catalog_data
+from .plans import catalog, catalog_align, catalog_code, catalog_data
 
-__all__ = ["catalog_align", "catalog_data", "oracle_sql", "queries"]
+__all__ = ["catalog_align", "catalog_code", "catalog_data", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, catalog.Query]:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.aggregate import status
 from ..plans.search import prepare, search
@@ -56,11 +60,43 @@ def gather(replies: DataFrame) -> DataFrame:
     return per.withColumn("status", status(F.col("number"), F.col("cluster_size"), F.col("error")))
 
 
-def gather_stream(replies: DataFrame, *, late: str = "1 hour") -> DataFrame:
-    """gather over a stream with a send_time: windows of that length bound the state."""
-    marked = replies.withWatermark("send_time", late)
-    per = marked.groupBy("query_id", F.window("send_time", late)).agg(F.sum(F.when(F.col("error").isNull(), F.col("number"))).alias("number"), F.max("cluster_size").alias("cluster_size"), F.max("error").alias("error"), F.count("*").alias("n_replies"))
-    return per.drop("window").withColumn("status", status(F.col("number"), F.col("cluster_size"), F.col("error")))
+GATHERED = "query_id long, number long, cluster_size long, error string, n_replies long, status string"
+
+
+def _gathered(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, wait_ms: int) -> Iterator[pd.DataFrame]:
+    number, size, error, n, until = state.get if state.exists else (None, None, None, 0, 0)
+    if state.hasTimedOut:
+        state.remove()
+        if error is None and (number is None or size is None or number < size):
+            yield pd.DataFrame({"query_id": [key[0]], "number": [number], "cluster_size": [size], "error": ["timed out"], "n_replies": [n], "status": ["exception"]}).astype({"number": "Int64", "cluster_size": "Int64"})
+        return
+    for frame in frames:
+        n += len(frame)
+        errors, sizes = frame["error"].dropna(), frame["cluster_size"].dropna()
+        parts = frame.loc[frame["error"].isna(), "number"].dropna()
+        error = max([*errors, *([] if error is None else [error])], default=None)
+        size = max([*map(int, sizes), *([] if size is None else [size])], default=None)
+        number = number if parts.empty else int(parts.sum()) + (number or 0)
+        until = max(until, int(frame["send_time"].max().timestamp() * 1000))
+    state.update((number, size, error, n, until))
+    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs()) + wait_ms)
+    status_ = "exception" if error is not None else "nothing" if number is None else "finished" if size is not None and number >= size else "pending"
+    yield pd.DataFrame({"query_id": [key[0]], "number": [number], "cluster_size": [size], "error": [error], "n_replies": [n], "status": [status_]}).astype({"number": "Int64", "cluster_size": "Int64"})
+
+
+def gather_stream(replies: DataFrame, *, late: str = "1 hour", wait_seconds: int = 300) -> DataFrame:
+    """gather over a stream (query_id, number, cluster_size, error, send_time), in update mode.
+
+    State is kept by query id, so partial replies meet however far apart they are sent; it goes
+    wait_seconds of event time after the last reply, when what is still pending becomes an exception.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _gathered(key, frames, state, wait_seconds * 1000)
+
+    rows = replies.select("query_id", F.col("number").cast("long").alias("number"), F.col("cluster_size").cast("long").alias("cluster_size"), "error", "send_time").withWatermark("send_time", late)
+    kept = "number long, cluster_size long, error string, n_replies long, until long"
+    return rows.groupBy("query_id").applyInPandasWithState(run, GATHERED, kept, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def reply_of(replies: DataFrame, query_ids: DataFrame) -> DataFrame:

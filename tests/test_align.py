@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -176,3 +177,55 @@ def test_settings():
     except ValueError:
         return
     raise AssertionError
+
+
+def test_second_hash_is_not_a_function_of_the_first(spark):
+    df = spark.range(50).selectExpr("id", "transform(sequence(0, 9), i -> string(id * 31 + i)) AS tokens")
+    g = align.shingles(df, "id", 3).withColumn("folded", F.xxhash64(F.col("h1"), F.lit(1)))
+    seeded = align.shingles(df, "id", 3)
+    assert seeded.where("h1 = h2").count() == 0
+    # A literal behind the gram would be hashed with h1 as its seed.
+    gram = F.expr("xxhash64(slice(tokens, pos + 1, 3), 1)")
+    assert g.join(df, "id").where(F.col("h2") == gram).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_subsumption_equals_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(400):
+        q, f, n, m = rng.randrange(120), rng.randrange(60), rng.choice([1, 2, 2, 3, 9, 70]), rng.choice([0, 0, 1])
+        rows.append((rng.randrange(2), 0, q, q + n, f, f + n + m, m))
+    names = ["query_id", "frag_id", "q_start", "q_end", "f_start", "f_end", "dist"]
+    distinct = set(rows)
+    held = lambda b, a: a != b and a[:2] == b[:2] and b[2] <= a[2] and a[3] <= b[3] and b[4] <= a[4] and a[5] <= b[5] and b[6] <= a[6]
+    want = {a for a in distinct if not any(held(b, a) for b in distinct)}
+    got = [tuple(r[c] for c in names) for r in aggregate.remove_subsumed(spark.createDataFrame(rows, ", ".join(f"{c} int" for c in names))).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_matches_do_not_depend_on_the_join(spark, monkeypatch, most):
+    monkeypatch.setattr(align, "few_grams", lambda df, k: most > 0)
+    rng = random.Random(4)
+    rows = [(i, [rng.choice("abc") for _ in range(25)]) for i in range(8)]
+    q, f = spark.createDataFrame(rows[:4], "query_id int, tokens array<string>"), spark.createDataFrame(rows[4:], "frag_id int, tokens array<string>")
+    got = {(r.query_id, r.frag_id, r.q_start, r.f_start, r.q_end - r.q_start) for r in align.exact_matches(q, f, 3).collect()}
+    want = set()
+    for i, a in rows[:4]:
+        for j, b in rows[4:]:
+            for x in range(25):
+                for y in range(25):
+                    if a[x] == b[y] and (x == 0 or y == 0 or a[x - 1] != b[y - 1]):
+                        n = 0
+                        while x + n < 25 and y + n < 25 and a[x + n] == b[y + n]:
+                            n += 1
+                        if n >= 3:
+                            want.add((i, j, x, y, n))
+    assert got == want
+
+
+def test_repeats_meet_a_fragment_once(spark):
+    q = spark.createDataFrame([(1, list("ab") + ["x"] * 12)], "query_id int, tokens array<string>")
+    f = spark.createDataFrame([(2, ["x"] * 6)], "frag_id int, tokens array<string>")
+    assert align.exact_matches(q, f, 2).count() > align.exact_matches(q, f, 2, no_repeats=True).count() > 0

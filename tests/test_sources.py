@@ -61,6 +61,23 @@ def test_gather_stream(spark, tmp_path):
     assert {r.query_id: r.status for r in spark.table("gathered").collect()} == {1: "finished", 2: "pending"}
 
 
+def test_replies_of_one_query_meet_across_hours_and_time_out(spark, tmp_path):
+    kind = "query_id int, language string, number int, cluster_size int, error string, at long"
+    batches = [[(1, "java", 1, 2, None, 3590), (2, "java", 1, 2, None, 3500)], [(1, "java", 1, 2, None, 3610)], [(3, "java", 2, 2, None, 90000)], [(3, "java", 0, 2, None, 90001)]]
+    schema = None
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, kind).withColumn("send_time", F.timestamp_seconds("at")).drop("at").coalesce(1)
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        schema = df.schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    q = replies.gather_stream(stream, late="1 hour", wait_seconds=600).writeStream.format("memory").queryName("met").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = [(r.query_id, r.status, r.number) for r in spark.table("met").collect()]
+    assert (1, "finished", 2) in got and (3, "finished", 2) in got
+    assert (2, "exception", 1) in got  # pending until the watermark passed its wait
+    assert (1, "exception", 2) not in got
+
+
 def test_search_stream(spark, tmp_path):
     from tessella.plans.search import prepare
     from tessella.settings import SearchSettings
