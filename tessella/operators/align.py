@@ -30,10 +30,13 @@ def ngrams(tokens: Column, k: int, stride: int = 1) -> Column:
 def shingles(df: DataFrame, id_col: str, k: int, tokens: str = "tokens") -> DataFrame:
     """The index of a table: (id, pos, h1, h2), one row for each start of a k-gram.
 
+    Tokens are hashed once, to 64 bits; grams are slices of those numbers, and each has two hashes.
     h2 starts from another seed: behind the gram, a seed would be folded onto h1 and add no bit.
     """
-    key = F.transform(ngram_starts(F.size(tokens), k), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(tokens, i + 1, F.lit(k))).alias("h1"), F.xxhash64(F.lit(1), F.slice(tokens, i + 1, F.lit(k))).alias("h2")))
-    return df.select(F.col(id_col).alias("id"), F.explode(key).alias("x")).select("id", "x.pos", "x.h1", "x.h2")
+    hashed = df.select(F.col(id_col).alias("id"), F.transform(tokens, lambda t: F.xxhash64(t)).alias("t"))
+    grams = F.transform(ngram_starts(F.size("t"), k), lambda i: F.struct(i.alias("pos"), F.slice("t", i + 1, F.lit(k)).alias("gram")))
+    rows = hashed.select("id", F.explode(grams).alias("x"))
+    return rows.select("id", "x.pos", F.xxhash64("x.gram").alias("h1"), F.xxhash64(F.lit(1), "x.gram").alias("h2"))
 
 
 def tails(tokens: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexers, text
 from ..operators import aggregate as A
 from ..operators import align, blocks, semantic
+from ..session import spread
 from ..settings import SearchSettings
 
 
@@ -18,8 +19,9 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, out_id: str, language:
     tokenizer refuses, null texts included, are left out.
     """
     rows = docs.select(F.col(id_col).alias(out_id), F.col(text_col).alias("text"))
+    rows = rows if rows.isStreaming else spread(rows)
     if language == "words":
-        out = rows.withColumn("tokens", text.words(F.col("text"))).where(F.col("tokens").isNotNull())
+        out = rows.where(F.col("text").isNotNull()).withColumn("tokens", text.words(F.col("text")))
         return out.select("*", F.size("tokens").alias("n_tokens"), F.lit(None).cast(lexers.TOKENS_TYPE).alias("spans"), F.array().cast("array<struct<pos:int,step:int>>").alias("delims"), F.transform("tokens", lambda w: F.array(w)).alias("token_words"))
     lang = lexers.LANGUAGES[language]
     out = rows.withColumn("spans", lexers.tokenize(F.col("text"), language)).where(F.col("spans").isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reachable(spark: SparkSession) -> SparkSession:
@@ -15,3 +15,13 @@ def reachable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it comes from fewer files than there are cores.
+
+    A file may be one row group, which one task reads; more files than cores are left as they are,
+    so a large table is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
