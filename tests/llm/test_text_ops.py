@@ -349,6 +349,67 @@ def test_field_finds_what_the_patterns_miss(spark):
     assert (row.n_email, row.n_card, row.base_sha256) == (1, 1, hashlib.sha256(b"email:2:7,card:8:27").hexdigest())
 
 
+def test_segments_equal_all_segmentations():
+    field = personal.fit_field()
+
+    def every(n, at=0):
+        if at == n:
+            yield []
+        else:
+            yield from every(n, at + 1)
+            for j in range(at + 1, min(n, at + personal.MOST_WORDS) + 1):
+                for k in range(len(personal.KINDS)):
+                    for rest in every(n, j):
+                        yield [(at, j, k), *rest]
+
+    rng = random.Random(3)
+    for _ in range(12):
+        words_ = personal._sentence(rng)[0][:4]
+        worth = {(i, j + 1, k): s for j, row in enumerate(field._table(words_)) for i, _, own in row for k, s in enumerate(own)}
+        total = lambda way: sum(worth[x] for x in way) if all(worth.get(x, -1) > personal.MARGIN for x in way) else -math.inf  # noqa: B023, E731
+        assert math.isclose(total(field.best(words_)), max(map(total, every(len(words_)))), abs_tol=1e-9)
+
+
+def test_long_runs_are_read_piece_by_piece(monkeypatch):
+    field = personal.fit_field()
+    rng = random.Random(9)
+    words_ = [w for _ in range(60) for w in personal._sentence(rng)[0]]
+    whole = field.best(words_)
+    monkeypatch.setattr(personal, "FLUSH", 12)
+    assert field.best(words_) == whole and len(whole) > 20
+    text = " ".join(str(rng.randrange(10_000)) for _ in range(30_000))
+    assert personal.field_spans(text, field) == [] or personal.field_spans(text, field)[-1][2] <= len(text)
+
+
+def test_forms_that_the_field_never_saw():
+    field = personal.fit_field()
+    rng = random.Random(77)
+    some = lambda cs, n: "".join(rng.choice(cs) for _ in range(n))
+    digits, mixed = "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    forms = [
+        lambda: (4, "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)),
+        lambda: (4, "ghp_" + some(mixed, 36)),
+        lambda: (4, "sk-proj-" + some(mixed, 44)),
+        lambda: (4, "glpat-" + some(mixed, 20)),
+        lambda: (4, f"xoxb-{some(digits, 12)}-{some(mixed, 24)}"),
+        lambda: (5, f"{rng.randint(100, 699)}-{some(digits, 2)}-{some(digits, 4)}"),
+        lambda: (3, f"020 {some(digits, 4)} {some(digits, 4)}"),
+        lambda: (6, "GB82WEST12345698765432"),
+        lambda: (0, f"{some('abcdeil', 6)} AT {some('abcdeil', 7)} DOT org"),
+    ]
+    lead = {4: ["the key is", "use token:", "export API_KEY ="], 5: ["his ssn is", "ssn"], 3: ["call me at", "phone"], 6: ["pay to iban", "account"], 0: ["mail", "write to"]}
+    found = total = 0
+    for k in range(270):
+        kind, what = forms[k % len(forms)]()
+        before = "we were told that " + rng.choice(lead[kind]) + " "
+        spans = personal.personal_spans(f"{before}{what} and no more than that", field)
+        total += 1
+        found += any(k2 == kind and a <= len(before) and b >= len(before) + len(what) for a, k2, b, _ in spans)
+    assert found >= 0.9 * total
+    clean = ["In 1987 they sold 1,200 boats at 45 crowns, 3 of 10 by June.", "See section 4.2.1 and figure 12 at page 310.", "Flight LH4711 leaves at 10:45 from gate B12.", "The a4 sheet is 210 by 297 mm; see https://example.com/a/12345.", "Run build_2024_final.py with python3.11 on x86_64.", "Order 2024-0017 shipped on 2024-05-06, 17 boxes."]
+    assert sum(len(personal.personal_spans(t, field)) for t in clean) == 0
+
+
 def test_language_holds_out(spark):
     rng = random.Random(6)
     parts = {"en": ["th", "er", "ing", "and"], "de": ["sch", "ung", "ei", "ver"], "fr": ["eau", "oi", "ment", "é"], "es": ["ción", "ado", "ll", "ñ"]}
