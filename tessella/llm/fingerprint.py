@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textvec import BYTE_VALUE, Chunk, chunks, span_hashes
+from .textvec import BYTE_VALUE, Chunk, chunks, lean, span_hashes
 from .work import bucket_of, materialize, range_edges
 
 WINDOW = 16
@@ -110,7 +110,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     key = F.coalesce("id", F.lit(-(1 << 63)))
     keyed = docs.select("id", "text", key.alias("key"), F.xxhash64("text").alias("h"))
     narrow = materialize(keyed.select("key", "h"), "keys")
-    buckets = min(MOST_BUCKETS, -(-narrow.count() // ROWS_A_BUCKET))
+    buckets = max(1, min(MOST_BUCKETS, -(-narrow.count() // ROWS_A_BUCKET)))
     edges = range_edges(narrow, "key", buckets)
     heads = narrow.select(bucket_of(F.col("key"), edges).alias("bucket"), "key", "h").groupBy("bucket").agg(F.max(F.struct("key", "h")).alias("m"))
     # One row a bucket, at most MOST_BUCKETS: small enough for one task and for a broadcast.
@@ -119,7 +119,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     guests = keyed.join(F.broadcast(heads), ["key", "h"]).groupBy("bucket").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first("key").alias("key"), F.first("h").alias("h"))
     own = keyed.select(bucket_of(F.col("key"), edges).alias("bucket"), F.lit(0).alias("guest"), "id", "text", "key", "h")
     both = own.unionByName(guests.select("bucket", F.lit(1).alias("guest"), "id", "text", "key", "h"))
-    return both.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), F.desc("h")).select("bucket", "guest", "id", "text")
+    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), F.desc("h")).select("bucket", "guest", "id", "text")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,4 +157,4 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op5_fingerprint(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row for each document; null texts count as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return with_next(rows).mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(rows).mapInArrow(lean(_compared), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -18,7 +18,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textvec import LOWER, Chunk, chunks
+from .textvec import LOWER, Chunk, chunks, lean, release
+from .work import collect_garbage
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -133,6 +134,10 @@ class LanguageModel:
         return out, score
 
 
+#: Hash places of ids.
+PLACES = 1 << 20
+
+
 def held_out(doc_id: Column, parts: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves remainder; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == remainder, F.lit(False))
@@ -142,8 +147,13 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fit on at most per_language documents of each label with a text; rows without a label don't count."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = known.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id", "lang")
+    # A label's ids by hash: those below a bound that some four times per_language are expected under, so
+    # what meets in one window does not grow with the label; then the least of them.
+    place = F.pmod(F.xxhash64("id"), F.lit(PLACES))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    few = known.select("id", "lang", place.alias("place")).join(sizes, "lang").where(F.col("place") * F.col("n") < 4 * per_language * PLACES)
+    order = Window.partitionBy("lang").orderBy("place", "id")
+    picked = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id", "lang")
     # At most per_language ids of each label.
     sample = known.join(F.broadcast(picked.distinct()), ["id", "lang"]).select("id", "lang", "text")
 
@@ -154,11 +164,15 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 at = [np.flatnonzero(r) for r in x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, len(c)).cast(pa.string()), batch.column(1).slice(c.first, len(c)), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([r[a] for r, a in zip(x, at, strict=True)], pa.list_(pa.float32()))], ["id", "lang", "at", "value"])
 
-    got = sample.mapInArrow(features, "id string, lang string, at array<int>, value array<float>").toArrow().sort_by([("lang", "ascending"), ("id", "ascending")])
+    got = sample.mapInArrow(lean(features), "id string, lang string, at array<int>, value array<float>").toArrow().sort_by([("lang", "ascending"), ("id", "ascending")])
     x = np.zeros((got.num_rows, DIMS), np.float32)
     for k, (at, value) in enumerate(zip(got["at"], got["value"], strict=True)):
         x[k, at.values.to_numpy()] = value.values.to_numpy()
-    return LanguageModel.fit(x, np.array(got["lang"].to_pylist(), object), families or FAMILIES) if len(x) else LanguageModel()
+    model = LanguageModel.fit(x, np.array(got["lang"].to_pylist(), object), families or FAMILIES) if len(x) else LanguageModel()
+    del got, x
+    release()
+    collect_garbage(docs.sparkSession)
+    return model
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), label: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -182,7 +196,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
                         got[k], sure[k] = UNKNOWN, 0.0
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(c.first, len(c)) for k in range(len(keep))], pa.array(got.tolist(), pa.string()), pa.array(sure, pa.float64())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op7_language(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import held_out
-from .textvec import BYTE_VALUE, LOWER, Chunk, chunks, span_hashes, words
+from .textvec import BYTE_VALUE, LOWER, Chunk, chunks, lean, span_hashes, words
 from .work import materialize
 
 PIECES = "piece_bpe_32k.model"
@@ -355,7 +355,7 @@ def fitted_weights(counts: DataFrame, texts: int) -> list[float]:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "uses"])
 
         # At most one row for each piece of the vocabulary.
-        found = counts.mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        found = counts.mapInArrow(lean(expect), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         total = np.ones(size)
         for r in found:
             total[r["piece"]] += r["uses"]
@@ -373,7 +373,7 @@ def score_documents(docs: DataFrame, held: str = "held", id_col: str = "id", tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(held), F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     # A task hands on each word once for many texts: a frequent word sends one row a task.
-    found = rows.where("NOT held").select("text").mapInArrow(_count_words, "word string, c long")
+    found = rows.where("NOT held").select("text").mapInArrow(lean(_count_words), "word string, c long")
     counts = materialize(found.groupBy("word").agg(F.sum("c").alias("c")), "counts")
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
     counts = counts.where(F.col("word") != END)
@@ -387,10 +387,10 @@ def score_documents(docs: DataFrame, held: str = "held", id_col: str = "id", tex
 
     # Fewer than FREQUENT rows, as their counts add up to n at most.
     often = F.col("c") * FREQUENT > n
-    frequent = [tuple(r) for r in counts.where(often).mapInArrow(scored, "word string, c long, lp double").collect()]
+    frequent = [tuple(r) for r in counts.where(often).mapInArrow(lean(scored), "word string, c long, lp double").collect()]
     unseen = float(np.log10(1 / (n + v + 1)))
     kinds = "block long, words array<string>, ids array<long>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, score array<double>, lengths array<int>, word array<int>, times array<int>"
-    blocks = materialize(rows.mapInArrow(_blocks(frequent, weights, ends, unseen), kinds), "blocks")
+    blocks = materialize(rows.mapInArrow(lean(_blocks(frequent, weights, ends, unseen)), kinds), "blocks")
     places = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word"))
     looked = places.join(counts.where(~often), "word").select("of", "at", "c")
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import chunks, mix64, word_hashes
-from .tokenize import encoder
+from .textvec import chunks, lean, mix64, word_hashes
+from .tokenize import encoder, forget
 from .work import bucket_of, materialize, range_edges
 
 DIMENSIONS = 4
@@ -155,13 +155,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and repeated rows each have their pieces. Ties of the key are dealt by a hash of the id.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = materialize(rows.mapInArrow(_encoded, "id long, key long, n long, ids binary"), "ids")
+    made = materialize(rows.mapInArrow(lean(_encoded, forget), "id long, key long, n long, ids binary"), "ids")
     total = made.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // tokens_a_bucket))
     bucket = bucket_of(F.col("key"), range_edges(made, "key", buckets))
-    dealt = made.select(bucket.alias("bucket"), "id", "ids", "key").repartition("bucket").sortWithinPartitions("bucket", "key", "id")
-    return dealt.select("bucket", "id", "ids").mapInArrow(_packed(length), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = made.select(bucket.alias("bucket"), "id", "ids", "key").repartition(buckets, "bucket").sortWithinPartitions("bucket", "key", "id")
+    return dealt.select("bucket", "id", "ids").mapInArrow(lean(_packed(length)), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op9_pack(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents, none padded; null texts and repeated rows as in pack_documents."""
     return pack_documents(docs).withColumnRenamed("id", "doc_id")

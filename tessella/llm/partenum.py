@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .textvec import chunks, mix64, shingles, word_hashes
-from .work import discard, materialize, with_least
+from .textvec import chunks, lean, mix64, shingles, word_hashes
+from .work import collect_garbage, discard, materialize, with_least
 
 PARTITIONS = 2  # n2
 DIFFERING = 1  # k2
@@ -213,12 +213,12 @@ class Join:
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, similarity: float | Fraction = Fraction(9, 10)) -> Join:
     similarity = Fraction(similarity).limit_denominator(1000)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = materialize(rows.mapInArrow(_named(width), "id long, n long, h1 long, h2 long"), "named")
+    found = materialize(rows.mapInArrow(lean(_named(width)), "id long, n long, h1 long, h2 long"), "named")
     sets = materialize(with_least(found, ["h1", "h2", "n"], "id", "rep").withColumn("rep", F.expr("CASE WHEN n > 0 THEN rep END")), "classes")
     discard(found)
     # Ids that stand for no class need no signatures.
     copies = sets.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.max(F.col("id") == F.col("rep")).alias("own")).where("NOT own")
-    signed = materialize(rows.where("id IS NOT NULL").join(copies, "id", "left_anti").mapInArrow(_signed(width, similarity), "id long, n long, sigs array<long>, rest array<smallint>, bits binary"), "signed")
+    signed = materialize(rows.where("id IS NOT NULL").join(copies, "id", "left_anti").mapInArrow(lean(_signed(width, similarity)), "id long, n long, sigs array<long>, rest array<smallint>, bits binary"), "signed")
     bits = materialize(signed.select("id", "n", "bits"), "bits")
     by_sig = signed.select("id", F.explode("sigs").alias("sig"))
     # Counts by signature are combined before their shuffle; the rows of one met twice follow, where AQE splits skewed keys.
@@ -250,6 +250,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         discard(*spent, *([] if labels is None else [labels]))
         labels, spent = merged, [apart, got]
     discard(*spent, bits)
+    collect_garbage(docs.sparkSession)
     return Join(sets, labels)
 
 
@@ -363,12 +364,12 @@ def _likely(apart: DataFrame, bits: DataFrame, similarity: Fraction, forest: boo
                     key, held = now, []
                 held.append(batch.slice(x, y - x))
             if out:
-                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()  # none without rows
                 out = []
         if held:
             yield from pairs(held)
 
-    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").where("a <> b").distinct()
 
 
 def _checked(pairs: DataFrame, bits: DataFrame, rows: DataFrame, width: int, similarity: Fraction) -> DataFrame:
@@ -390,13 +391,13 @@ def _checked(pairs: DataFrame, bits: DataFrame, rows: DataFrame, width: int, sim
             out = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
 
-    near = near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bounded, "a long, b long")
+    near = near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(lean(bounded), "a long, b long")
     near = materialize(near.withColumn("slice", F.spark_partition_id()), "pairs")
     texts = rows.where("id IS NOT NULL")
     hubs = near.select("a", "slice").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "text", "slice")
     partners = near.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "text", "slice")
     both = hubs.union(partners).repartition("a", "slice").sortWithinPartitions("a", "slice", F.asc_nulls_first("b")).select("a", "b", "text")
-    got = both.mapInArrow(_verify(width, similarity), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    got = both.mapInArrow(lean(_verify(width, similarity)), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
     got = materialize(got, "checked")
     discard(near)
     return got
@@ -414,6 +415,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The least doc_id that links reach, for every row; odd rows as in near_duplicates."""
     return near_duplicates(docs).withColumnRenamed("id", "doc_id")
 
 

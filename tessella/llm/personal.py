@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textvec import lean
+
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -387,7 +389,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 spans = [[{"kind": KINDS[k], "start": a, "end": b, "base": s} for a, k, b, s in personal_spans(t.as_py(), field)] for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, kind)], names=["id", "spans"])
 
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
+    return rows.mapInArrow(lean(run, _shape.cache_clear), f"id {docs.schema[id_col].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
 
 
 def op2_personal_data(docs: DataFrame) -> DataFrame:

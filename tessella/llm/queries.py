@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 from .chroma import op10_chroma
 from .fingerprint import op5_fingerprint
 from .language import op7_language
@@ -20,7 +21,7 @@ from .work import reachable
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: op(reachable(spark).read.parquet(f"{sf_dir}/{table}.parquet"))
+    return lambda spark, sf_dir: op(spread(reachable(spark).read.parquet(f"{sf_dir}/{table}.parquet")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ VOCABULARY = "byte_bpe_50k"
 LETTER, NUMBER, SPACE = 1, 2, 3
 SETTLED = ((0, 0x0530), (0x1E00, 0x2C00), (0x3000, 0x3100), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4))
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 _classes: np.ndarray | None = None
 
 
@@ -146,3 +146,8 @@ def encoder() -> Encoder:
     global _encoder
     _encoder = _encoder or Encoder()
     return _encoder
+
+
+def forget() -> None:
+    global _encoder
+    _encoder = None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import reachable
 
-__all__ = ["bucket_of", "discard", "materialize", "new_path", "range_edges", "reachable", "shared_dir", "with_least"]
+__all__ = ["bucket_of", "collect_garbage", "discard", "materialize", "new_path", "range_edges", "reachable", "shared_dir", "with_least"]
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -78,6 +78,11 @@ def discard(*tables: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """After many jobs: what their plans held on the driver, and the broadcasts that Spark's cleaner finds unused, go."""
+    spark._jvm.System.gc()
+
+
 def bucket_of(key: Column, edges: list[int]) -> Column:
     """The number of edges below the key, by a balanced tree of comparisons."""
     def tree(low: int, high: int):

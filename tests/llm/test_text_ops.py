@@ -104,6 +104,13 @@ def test_one_row_of_each_component_stays(spark):
     assert {r.doc_id for r in partenum.keep_one_of_each(table(spark, unique)).collect()} == {3, 9}
 
 
+def test_blocks_without_a_likely_link_give_no_rows(spark):
+    apart = spark.createDataFrame([(7, k, k, 3) for k in (1, 2, 3)], "sig long, id long, c long, size long")
+    bits = spark.createDataFrame([(k, 40, bytes([17 * k] * 8)) for k in (1, 2, 3)], "id long, n long, bits binary")
+    for forest in (True, False):
+        assert partenum._likely(apart, bits, Fraction(99, 100), forest).count() == 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10_000), st.integers(3, 300), st.sampled_from([Fraction(9, 10), Fraction(4, 5)]))
 def test_similar_sets_share_a_signature(seed, n, similarity):
