@@ -70,7 +70,9 @@ def with_least(df: DataFrame, keys: list[str], value: str, name: str, slices: in
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of materialized tables that no later plan reads."""
+    """Delete the files of materialized tables that no later plan reads, and let the driver forget their plans."""
+    if tables:
+        collect_garbage(tables[0].sparkSession)
     for df in tables:
         spark = df.sparkSession
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
