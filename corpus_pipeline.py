@@ -13,12 +13,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told, with it in lang."""
+    """Documents whose language can be told, with it in lang; texts that are null or have no letter go.
+
+    Null labels teach nothing; repeated rows are judged alike and all stay.
+    """
     return language.keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many sites share; emptied documents go."""
+    """Texts without the lines that many sites share; emptied documents go.
+
+    Null texts stay null, a null source is a site of its own, the document of the least id keeps a line,
+    repeated rows are treated alike.
+    """
     return linededup.keep_unrepeated_lines(docs)
 
 
@@ -28,12 +35,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix by source takes it."""
+    """Each document as often as the mix by source takes it.
+
+    Null sources form the last one, documents without words are not taken, repeated rows have copies of their own.
+    """
     return mixing.take_mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences along the curve."""
+    """Pieces of token sequences along the curve; null and empty texts are an end alone, ties go by a hash of the id."""
     return packing.op9_pack(docs)
 
 
