@@ -151,7 +151,8 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # what meets in one window does not grow with the label; then the least of them.
     place = F.pmod(F.xxhash64("id"), F.lit(PLACES))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    few = known.select("id", "lang", place.alias("place")).join(sizes, "lang").where(F.col("place") * F.col("n") < 4 * per_language * PLACES)
+    # One row a label, of which the model holds per_language profiles here: no row is dealt by its label.
+    few = known.select("id", "lang", place.alias("place")).join(F.broadcast(sizes), "lang").where(F.col("place") * F.col("n") < 4 * per_language * PLACES)
     order = Window.partitionBy("lang").orderBy("place", "id")
     picked = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id", "lang")
     # At most per_language ids of each label.
