@@ -42,6 +42,8 @@ LEAST_ELEMENTS = 3
 SPARE = 0.12
 #: Classes of a signature that one task compares with as many others, by their parity bits.
 BLOCK = 1024
+#: Pairs of a block that leave a worker at once.
+PART = 1 << 16
 #: Parity slots for each difference that a pair may have.
 SLOTS = 5
 
@@ -307,7 +309,8 @@ def likely_links(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bits: li
         return
     pairs = np.concatenate(found)
     if not forest:
-        yield pairs[:, 1:]
+        for at in range(0, len(pairs), PART):
+            yield pairs[at : at + PART, 1:]
         return
     root = list(range(int(c.max()) + 1))
 
@@ -319,9 +322,9 @@ def likely_links(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bits: li
 
     spare = len(ids)
     order = np.argsort(pairs[:, 0], kind="stable")
-    for at in range(0, len(order), 1 << 16):
+    for at in range(0, len(order), PART):
         out = []
-        part = pairs[order[at : at + (1 << 16)], 1:]
+        part = pairs[order[at : at + PART], 1:]
         for k, (i, j) in enumerate(part.tolist()):
             x, y = find(int(c[i])), find(int(c[j]))
             if x != y:
@@ -334,6 +337,19 @@ def likely_links(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bits: li
         yield part[out]
 
 
+def _joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about PART rows, whatever number of groups they come from."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= PART:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _likely(apart: DataFrame, bits: DataFrame, similarity: Fraction, forest: bool) -> DataFrame:
     """(a, b): likely_links of each signature, by pairs of blocks of its classes."""
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -351,7 +367,7 @@ def _likely(apart: DataFrame, bits: DataFrame, similarity: Fraction, forest: boo
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, k]) for k in range(2)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
+        key, held = None, []
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
@@ -360,16 +376,13 @@ def _likely(apart: DataFrame, bits: DataFrame, similarity: Fraction, forest: boo
                     continue
                 if (now := keys[x].tolist()) != key:
                     if held:
-                        out.extend(pairs(held))
+                        yield from pairs(held)
                     key, held = now, []
                 held.append(batch.slice(x, y - x))
-            if out:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()  # none without rows
-                out = []
         if held:
             yield from pairs(held)
 
-    return rows.mapInArrow(lean(run), "a long, b long").where("a <> b").distinct()
+    return rows.mapInArrow(lean(lambda batches: _joined(run(batches))), "a long, b long").where("a <> b").distinct()
 
 
 def _checked(pairs: DataFrame, bits: DataFrame, rows: DataFrame, width: int, similarity: Fraction) -> DataFrame:

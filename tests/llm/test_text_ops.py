@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -14,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm import fingerprint, language, linededup, lmscore, mixing, packing, partenum, personal, tokenize
+from tessella.llm import fingerprint, language, linededup, lmscore, mixing, packing, partenum, personal, tokenize, work
 from tessella.llm.components import components
 from tessella.llm.textvec import chunks, shingles, word_hashes
 
@@ -104,6 +105,40 @@ def test_one_row_of_each_component_stays(spark):
     assert {r.doc_id for r in partenum.keep_one_of_each(table(spark, unique)).collect()} == {3, 9}
 
 
+def test_pairs_leave_a_worker_some_at_a_time():
+    n = 600
+    ids = np.arange(n)
+    args = ids, ids, np.full(n, 40), [bytes(8)] * n, Fraction(9, 10)
+    parts = list(partenum.likely_links(*args, forest=False))
+    assert max(map(len, parts)) <= 1 << 16
+    assert {tuple(x) for part in parts for x in part.tolist()} == {(i, j) for j in range(n) for i in range(j)}
+    pieces = [pa.RecordBatch.from_arrays([pa.array(part[:, k]) for k in range(2)], names=["a", "b"]) for part in parts] * 3
+    joined = list(partenum._joined(iter(pieces)))
+    assert sum(map(len, joined)) == 3 * n * (n - 1) // 2
+    assert max(map(len, joined)) < 1 << 17
+
+
+def test_components_need_no_round_once_edges_are_stars(spark, monkeypatch):
+    written = []
+    write = work.materialize
+    monkeypatch.setattr(sys.modules[components.__module__], "materialize", lambda df, name: written.append(name) or write(df, name))
+
+    def found(edges):
+        written.clear()
+        rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(rows) == len({r.node for r in rows})
+        return {r.node: r.component for r in rows}
+
+    assert found([(1, 5), (7, 1), (1, 7), (3, 9), (9, 9), (4, None)]) == {1: 1, 5: 1, 7: 1, 3: 3, 9: 3}
+    assert len(written) == 1
+    assert found([(4, None), (9, 9)]) == {}
+    assert len(written) == 1
+    # A chain, a ring, a hub that is not the least, and two hubs that share an end.
+    edges = [(k, k + 1) for k in range(20)] + [(30 + k, 30 + (k + 1) % 7) for k in range(7)] + [(59, k) for k in range(50, 59)] + [(70, k) for k in range(71, 75)] + [(76, 74), (76, 77)]
+    want = dict.fromkeys(range(21), 0) | dict.fromkeys(range(30, 37), 30) | dict.fromkeys(range(50, 60), 50) | dict.fromkeys([*range(70, 75), 76, 77], 70)
+    assert found(edges) == want
+
+
 def test_blocks_without_a_likely_link_give_no_rows(spark):
     apart = spark.createDataFrame([(7, k, k, 3) for k in (1, 2, 3)], "sig long, id long, c long, size long")
     bits = spark.createDataFrame([(k, 40, bytes([17 * k] * 8)) for k in (1, 2, 3)], "id long, n long, bits binary")
