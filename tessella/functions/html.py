@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
-def element_texts(page: Column, element: str = "code") -> Column:
-    """Text of each outermost element, in order: breaks become newlines, other tags vanish, entities are resolved."""
-    broken = F.regexp_replace(page, r"(?i)<br\s*/?>", "\n")
+def element_texts(page: Column, element: str = "code", *, breaks: bool = True, entities: list[tuple[str, str]] = ENTITIES) -> Column:
+    """Text of each outermost element, in order: breaks become newlines, other tags vanish, entities are resolved.
+
+    Without breaks, these vanish like other tags.
+    """
+    broken = F.regexp_replace(page, r"(?i)<br\s*/?>", "\n") if breaks else page
     found = F.regexp_extract_all(broken, F.lit(rf"(?is)<{element}(?:\s[^>]*)?>(.*?)</{element}>"), F.lit(1))
 
     def plain(t: Column) -> Column:
         t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
-        for entity, char in ENTITIES:
+        for entity, char in entities:
             t = F.replace(t, F.lit(entity), F.lit(char))
         return t
 

@@ -43,3 +43,12 @@ def test_runs(spark, name):
 def test_survival_runs_all_steps_of_the_survey(spark):
     rows = registry.queries()["mut11_survival"](spark, str(DATA)).collect()
     assert {(r.preset, r.step) for r in rows} == {(p, k) for p in ("low", "medium", "high") for k in range(1, 11)}
+
+
+def test_longest_code_on_entities_and_breaks(spark, tmp_path):
+    pages = ["<h1>a = &quot;b&quot;</h1>", "<h1>a<br/>b &amp; c</h1><H1 class='x'>&lt;<b>i</b>\n&gt;</H1>", "<p>none</p>", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.queries()["flt03_longest_code"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.oracle_sql()["flt03_longest_code"]).fetchall())
