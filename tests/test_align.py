@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -229,3 +230,29 @@ def test_repeats_meet_a_fragment_once(spark):
     q = spark.createDataFrame([(1, list("ab") + ["x"] * 12)], "query_id int, tokens array<string>")
     f = spark.createDataFrame([(2, ["x"] * 6)], "frag_id int, tokens array<string>")
     assert align.exact_matches(q, f, 2).count() > align.exact_matches(q, f, 2, no_repeats=True).count() > 0
+
+
+def test_semantic_search_computes_its_matches_once(spark):
+    texts = spark.createDataFrame([(1, "a b c d e f g"), (2, "x y z"), (None, "a b c d e f g")], "id long, text string")
+    q, f = prepare(texts, "id", "text", "query_id"), prepare(texts.where("id is not null"), "id", "text", "frag_id")
+    found = search(q, f, SearchSettings(min_match=3, coverage=0.5, semantic=0.4))
+    assert sorted((r.query_id, r.frag_id, r.q_start, r.q_end, r.coverage, round(r.sim, 9)) for r in found.collect()) == [(1, 1, 0, 7, 1.0, 1.0), (2, 2, 0, 3, 1.0, 1.0)]
+    # One for the words and one for the result; they share a shuffle.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti") == 2
+
+
+def test_semantic_search_with_edits_reads_the_words_of_queries(spark):
+    q = prepare(spark.createDataFrame([(1, "a b c X d e f")], "id long, text string"), "id", "text", "query_id")
+    f = prepare(spark.createDataFrame([(7, "a b c Y d e f"), (8, "u v w")], "id long, text string"), "id", "text", "frag_id")
+    (row,) = search(q, f, SearchSettings(min_match=6, distance=1, coverage=0.5, semantic=0.1)).collect()
+    # Six words of one document in two weigh w each; the query's own word is in none and weighs more.
+    w, x = math.log(3 / 2), math.log(3)
+    assert (row.dist, row.q_start, row.q_end) == (1, 0, 7)
+    assert row.sim == pytest.approx(6 * w * w / math.sqrt((6 * w * w + x * x) * (7 * w * w)))
+
+
+def test_coverage_is_the_union_whatever_the_order_of_ties(spark):
+    rows = [(1, 1, a, b) for a, b in [(0, 4), (0, 4), (2, 6), (6, 7), (8, 9), (8, 9), (3, 5)]] + [(None, 1, 0, 9)]
+    m, f = spark.createDataFrame(rows, "query_id int, frag_id int, f_start int, f_end int"), spark.createDataFrame([(1, 10)], "frag_id int, n_tokens int")
+    assert {(r.query_id, r.coverage) for r in aggregate.min_coverage(m, f, 0.5).collect()} == {(1, 0.8)}
+    assert aggregate.min_coverage(m, f, 0.81).count() == 0
